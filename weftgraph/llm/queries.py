@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import mixing
+from weftgraph.llm import mixing, sharding, token_output
 
 QUERIES = {
+    "op2_token_files": token_output.op2_token_files,
+    "op4_vector_shards": sharding.op4_vector_shards,
     "op9_pareto_mix": mixing.op9_pareto_mix,
 }
 ORACLE_SQL = {

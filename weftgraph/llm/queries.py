@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, mixing, sharding, simhash, token_output
+from weftgraph.llm import bpe, minhash, mixing, sharding, simhash, token_output
 
 QUERIES = {
     "op2_token_files": token_output.op2_token_files,
     "op4_vector_shards": sharding.op4_vector_shards,
     "op5_bpe_stream": bpe.op5_bpe_stream,
     "op6_simhash_groups": simhash.op6_simhash_groups,
+    "op7_minhash_prints": minhash.op7_minhash_prints,
     "op9_pareto_mix": mixing.op9_pareto_mix,
 }
 ORACLE_SQL = {

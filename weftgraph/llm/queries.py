@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, minhash, mixing, sharding, simhash, token_output
+from weftgraph.llm import bpe, minhash, mixing, sharding, simhash, token_output, toxicity
 
 QUERIES = {
+    "op1_kneser_ney_toxicity": toxicity.op1_kneser_ney_toxicity,
     "op2_token_files": token_output.op2_token_files,
     "op4_vector_shards": sharding.op4_vector_shards,
     "op5_bpe_stream": bpe.op5_bpe_stream,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, minhash, mixing, sharding, simhash, token_output, toxicity
+from weftgraph.llm import bpe, minhash, mixing, pii, sharding, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_kneser_ney_toxicity": toxicity.op1_kneser_ney_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe_stream": bpe.op5_bpe_stream,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op7_minhash_prints": minhash.op7_minhash_prints,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_pareto_mix": mixing.op9_pareto_mix,
 }
 ORACLE_SQL = {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, minhash, mixing, pii, sharding, simhash, token_output, toxicity
+from weftgraph.llm import bpe, minhash, mixing, pii, sharding, simhash, token_output, topk, toxicity
 
 QUERIES = {
     "op1_kneser_ney_toxicity": toxicity.op1_kneser_ney_toxicity,
     "op2_token_files": token_output.op2_token_files,
+    "op3_pivot_top_k": topk.op3_pivot_top_k,
     "op4_vector_shards": sharding.op4_vector_shards,
     "op5_bpe_stream": bpe.op5_bpe_stream,
     "op6_simhash_groups": simhash.op6_simhash_groups,
@@ -15,5 +16,6 @@ QUERIES = {
     "op9_pareto_mix": mixing.op9_pareto_mix,
 }
 ORACLE_SQL = {
+    "op3_pivot_top_k": topk.ORACLE,
     "op9_pareto_mix": mixing.ORACLE,
 }

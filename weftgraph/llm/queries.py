@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, minhash, mixing, pii, sharding, simhash, token_output, topk, toxicity
+from weftgraph.llm import bpe, line_dedup, minhash, mixing, pii, sharding, simhash, token_output, topk, toxicity
 
 QUERIES = {
     "op1_kneser_ney_toxicity": toxicity.op1_kneser_ney_toxicity,
@@ -14,8 +14,10 @@ QUERIES = {
     "op7_minhash_prints": minhash.op7_minhash_prints,
     "op8_personal_data": pii.op8_personal_data,
     "op9_pareto_mix": mixing.op9_pareto_mix,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL = {
     "op3_pivot_top_k": topk.ORACLE,
     "op9_pareto_mix": mixing.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }

@@ -270,8 +270,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, shape)
 
 
-def digests(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: :func:`encode_documents` without the contents."""
+def digests(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for; else as :func:`encode_documents`."""
 
     def run(batches):
         coder = codec(tokenizer_path)
@@ -280,12 +280,13 @@ def digests(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", tex
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = coder.encode(text.as_py())
                 decoded = coder.decode(ids).encode()
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if with_ids else None))
+            columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            width = 4 + with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:width], kinds, strict=False)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:width])
 
-    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, shape)
 
 

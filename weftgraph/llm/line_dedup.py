@@ -137,6 +137,19 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def with_kept_lines(docs: DataFrame, *, chars_col: str = "n_chars", **options) -> DataFrame:
+    """The columns of ``docs`` with texts of kept lines only, and their length in ``chars_col`` if there is one.
+
+    Documents all of whose lines went are left out; blank and null texts stay.
+    """
+    text_col = options.get("text_col", "text")
+    found = deduplicated(docs, **options)
+    left = found.where("n_lines = 0 or n_lines > n_exact + n_near")
+    length = F.when(F.col("kept_text").isNull(), F.col(chars_col)).otherwise(F.length("kept_text").cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else None
+    new = {text_col: F.col("kept_text"), chars_col: length}
+    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = deduplicated(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import documents, small_enough, stored, words
+from weftgraph.llm.shared import WORD, documents, small_enough, stored, words
 
 BUCKETS = 4096
 #: Random digits of a document: 13 hexadecimal digits of md5, 52 bits.
@@ -74,7 +74,7 @@ def pareto_mix(
     max_copies: int = 3,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, copies, taken.
+    """One row per row of ``docs``: doc_id, no_source, source_key, size, source_size, target, copies, taken.
 
     ``size`` is the number of words, ``taken`` is ``size`` times ``copies`` (0 to ``max_copies``).
     Null texts and texts without words have size 0 and take nothing but may be counted a copy.
@@ -117,7 +117,7 @@ def pareto_mix(
     return (
         ranked.join(starts, [*key, "bucket"])
         .withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        .select("doc_id", "no_source", "source_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
@@ -126,14 +126,26 @@ def op9_pareto_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`pareto_mix` takes it; ``docs`` needs unique ids.
+    """The rows of ``docs``, each as often as :func:`pareto_mix` takes it.
 
-    A null id never matches and is dropped; use :func:`pareto_mix` where ids may be null.
+    Rows that agree in id, source and size share the larger number of copies among them.
     """
-    copies = pareto_mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("mix_id"), "copies")
-    id_col = options.get("id_col", "doc_id")
-    taken = docs.join(copies, docs[id_col] == copies["mix_id"])
-    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    key = ["mix_id", "mix_no_source", "mix_source", "mix_size"]
+    copies = (
+        pareto_mix(docs, **options)
+        .where("copies > 0")
+        .groupBy(F.col("doc_id").alias(key[0]), F.col("no_source").alias(key[1]), F.col("source_key").alias(key[2]), F.col("size").alias(key[3]))
+        .agg(F.max("copies").alias("mix_copies"))
+    )
+    same = (
+        docs[id_col].eqNullSafe(copies["mix_id"])
+        & (docs[source_col].isNull() == copies["mix_no_source"])
+        & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == copies["mix_source"])
+        & (F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long") == copies["mix_size"])
+    )
+    taken = docs.join(copies, same)
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 _SIZED = r"""

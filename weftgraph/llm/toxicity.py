@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -216,17 +217,30 @@ def fit_curve(rows: list[tuple[int, float, float]]) -> tuple[float, float, float
     return float(w[0]), float(10 * w[1]), float(w[2])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, mean_ratio, window_ratio.
+@dataclass(frozen=True)
+class Model:
+    """Where the table of log-ratios is, and the curve from evidence to score."""
+
+    table: str
+    curve: tuple[float, float, float]
+
+    def score(self, text: str) -> tuple[float, float, float]:
+        """Score, whole-text evidence, window evidence."""
+        mean, window = evidence(load_table(self.table), text)
+        at = self.curve[0] + self.curve[1] * mean + self.curve[2] * window
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, at)))), mean, window
+
 
-    Null texts score as empty ones.  A null id is never learnt from and is not held out.  Labels that
-    are null, or of no document, are ignored.  With labels of one class only, all scores are alike.
-    No rows in, no rows out.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """The model of all labelled rows that may be learnt from.
+
+    A null id is never learnt from.  Labels that are null, or of no document, are ignored.  With labels
+    of one class only, or none, the curve is flat.
     """
     spark = docs.sparkSession
     texts = labelled_texts(docs, labels, id_col, text_col, label_col)
     counts = stored(count_codes(texts), "toxicity-counts")
-    halves, table_of_all = (paths := build_tables(counts, fresh_path(spark, "toxicity-tables")))[:2], paths[2]
+    *halves, table_of_all = build_tables(counts, fresh_path(spark, "toxicity-tables"))
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,20 +250,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], ["toxic", "mean", "window"])
 
-    sample = texts.join(F.broadcast(texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()), "doc_id", "left_semi")
-    curve = fit_curve(sorted((r["toxic"], r["mean"], r["window"]) for r in sample.select("toxic", "half", "text").mapInArrow(calibrate, "toxic int, mean double, window double").collect()))
+    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
+    sample = texts.join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = sample.select("toxic", "half", "text").mapInArrow(calibrate, "toxic int, mean double, window double").collect()
+    return Model(table_of_all, fit_curve(sorted((r["toxic"], r["mean"], r["window"]) for r in rows)))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, mean_ratio, window_ratio.
+
+    Null texts score as empty ones.  A null id is not held out.  No rows in, no rows out.
+    """
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load_table(table_of_all)
         for batch in batches:
-            found = [evidence(table, t.as_py()) for t in batch.column(2)]
-            mean, window = np.array([f[0] for f in found]), np.array([f[1] for f in found])
-            value = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, curve[0] + curve[1] * a + curve[2] * b)))) for a, b in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64()), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(mean, pa.float64()), pa.array(window, pa.float64())], ["doc_id", "held_out", "score", "predicted", "mean_ratio", "window_ratio"])
+            found = np.array([model.score(t.as_py()) for t in batch.column(2)]).reshape(-1, 3)
+            columns = [batch.column(0), batch.column(1), pa.array(found[:, 0]), pa.array((found[:, 0] >= THRESHOLD).astype(np.int32)), pa.array(found[:, 1]), pa.array(found[:, 2])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "mean_ratio", "window_ratio"])
 
     shape = "doc_id long, held_out boolean, score double, predicted int, mean_ratio double, window_ratio double"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text")).mapInArrow(score, shape)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, as they are."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < THRESHOLD for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op1_kneser_ney_toxicity(spark, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

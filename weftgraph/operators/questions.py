@@ -11,6 +11,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftgraph.functions import text as T
 from weftgraph.schema import ROUTE
@@ -43,7 +44,7 @@ def labelled(pairs: DataFrame, make: Callable[[], Sequence[Labeler]], default: s
         for frame in frames:
             yield frame.assign(raw_label=[ask(*row) for row in frame[["source", "target", "sentence"]].itertuples(index=False)])
 
-    shape = pairs.schema.add("raw_label", "string")
+    shape = StructType([*pairs.schema.fields, StructField("raw_label", StringType())])
     return pairs.mapInPandas(run, shape).withColumn("label", T.clean_label(F.col("raw_label"), default)).drop("raw_label")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import documents, fresh_path, small_enough, stored, text_or_empty
+from weftgraph.llm.shared import documents, forget, fresh_path, small_enough, stored, text_or_empty
 from weftgraph.llm.token_output import filesystem
 
 SYMBOL_BITS = 6
@@ -253,6 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
     sample = texts.join(F.broadcast(chosen), "doc_id", "left_semi")
     rows = sample.select("toxic", "half", "text").mapInArrow(calibrate, "toxic int, mean double, window double").collect()
+    for path in halves:
+        system, place = filesystem(path)
+        system.delete_file(place)
+    forget(counts)
     return Model(table_of_all, fit_curve(sorted((r["toxic"], r["mean"], r["window"]) for r in rows)))
 
 

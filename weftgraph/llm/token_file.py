@@ -85,18 +85,25 @@ def encode_blocks(values: np.ndarray, percentile: float = PERCENTILE) -> list[by
     return out
 
 
-def decode_block(data: bytes | memoryview, start: int = 0) -> np.ndarray:
-    """The values of the block at ``start``."""
-    least, width, count, exceptions = HEAD.unpack_from(data, start)
-    start += HEAD.size
-    words = BLOCK // 64 * width
-    packed = np.frombuffer(data, "<u8", words, start).reshape(-1, width) if width else np.zeros((BLOCK // 64, 0), np.uint64)
-    start += 8 * words
-    where = np.frombuffer(data, "<u2", exceptions, start)
-    high = np.frombuffer(data, "<u8", exceptions, start + 2 * exceptions)
-    values = unpack(packed, width).reshape(-1)
-    values[where] |= high << np.uint64(width) if width < 64 else high
-    return values[:count] + np.uint64(least)
+def decode_blocks(data: bytes | memoryview, starts: list[int]) -> np.ndarray:
+    """The values of many blocks, unpacked together where their widths are equal."""
+    heads = [HEAD.unpack_from(data, at) for at in starts]
+    values = np.zeros((len(starts), BLOCK), np.uint64)
+    per_bit = BLOCK // 64
+    for width in {h[1] for h in heads}:
+        chosen = [i for i, h in enumerate(heads) if h[1] == width]
+        if width:
+            packed = np.concatenate([np.frombuffer(data, "<u8", per_bit * width, starts[i] + HEAD.size) for i in chosen])
+            values[chosen] = unpack(packed.reshape(-1, width), width).reshape(len(chosen), BLOCK)
+    for i, (_, width, _, exceptions) in enumerate(heads):
+        if exceptions:
+            at = starts[i] + HEAD.size + 8 * per_bit * width
+            where = np.frombuffer(data, "<u2", exceptions, at)
+            high = np.frombuffer(data, "<u8", exceptions, at + 2 * exceptions)
+            values[i, where] |= high << np.uint64(width) if width < 64 else high
+    values += np.array([h[0] for h in heads], np.uint64)[:, None]
+    counts = np.array([h[2] for h in heads])
+    return values.reshape(-1) if (counts == BLOCK).all() else values[np.arange(BLOCK) < counts[:, None]]
 
 
 class TokenFileWriter:
@@ -172,7 +179,7 @@ class TokenFileReader:
         for lo in range(0, len(index), span):
             some = index[lo : lo + span].tolist()
             data = self.read_at(some[0], self.ends[some[-1]] - some[0])
-            yield np.concatenate([decode_block(data, at - some[0]) for at in some])
+            yield decode_blocks(data, [at - some[0] for at in some])
 
     def whole(self, name: str) -> np.ndarray:
         return np.concatenate([np.array([], np.uint64), *self.column(name)])

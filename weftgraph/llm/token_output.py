@@ -9,6 +9,7 @@ Running sums over the manifest give every file its first position; readers take
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.pretokens import ODD, PLAIN
+from weftgraph.llm.pretokens import LATIN, ODD, PLAIN
 from weftgraph.llm.shared import documents, fresh_path, partitions, stored, text_or_empty
 from weftgraph.llm.token_file import TokenFileReader, TokenFileWriter
 
 #: Pieces whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+#: Texts that are encoded at a step, in characters, and new words that the library gets as one text.
+STEP, TOGETHER = 500_000, 256
+WORD_PIECE = re.compile(rf" [{LATIN}]+")
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -48,20 +52,48 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if ODD.search(text) or any(s in text for s in self.special):
-            return self._library([text])[0]
-        found = PLAIN.findall(text)
-        if missing := set(found).difference(self.known):
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known.clear()
-                missing = set(found)
-            missing = list(missing)
-            self.known.update(zip(missing, self._library(missing), strict=True))
-        return b"".join(map(self.known.__getitem__, found))
+    def _learn(self, found: set[str]) -> None:
+        """Remember the ids of new pieces.
+
+        Words that begin with a space are handed over side by side, as a text whose pieces they are,
+        and told apart by the word numbers that the library gives with the ids.
+        """
+        words, rest = [], []
+        for piece in found:
+            (words if WORD_PIECE.fullmatch(piece) else rest).append(piece)
+        self.known.update(zip(rest, self._library(rest), strict=True))
+        groups = [words[lo : lo + TOGETHER] for lo in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(group) + 1))
+            self.known.update((piece, ids[a:b].tobytes()) for piece, a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        missing: set[str] = set()
+        get = self.known.get
+        for text in texts:
+            if ODD.search(text) or any(s in text for s in self.special):
+                out.append(self._library([text])[0])
+                continue
+            found = PLAIN.findall(text)
+            ids = list(map(get, found))
+            if None in ids:
+                missing.update(p for p, i in zip(found, ids, strict=True) if i is None)
+                waiting.append((len(out), found, ids))
+                out.append(None)
+            else:
+                out.append(b"".join(ids))
+        if missing:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()  # what is waiting keeps the ids that it has found
+            self._learn(missing)
+            get = self.known.get
+            for at, found, ids in waiting:
+                out[at] = b"".join([get(p) if i is None else i for p, i in zip(found, ids, strict=True)])
+        return out
 
 
 @lru_cache(1)
@@ -76,6 +108,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, some texts at a time."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc_id)
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size > STEP:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    yield ids, texts
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files; returns the manifest with each file's first position.
 
@@ -98,9 +143,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int | Non
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(path)
                 writer = TokenFileWriter(out)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer.add(doc_id, np.concatenate([np.frombuffer(ids_of(text.as_py()), "<u4"), end]))
-                n += 1
+            for ids, texts in steps(batch):
+                for doc_id, found in zip(ids, ids_of(texts), strict=True):
+                    writer.add(doc_id, np.concatenate([np.frombuffer(found, "<u4"), end]))
+                n += len(ids)
         if writer is not None:
             size = writer.close()
             out.close()

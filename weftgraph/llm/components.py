@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.shared import forget, stored
 
 #: Links that a task holds at once while it contracts.
-HELD = 500_000
+HELD = 500_000  # some 100 MB of a task's memory
 SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -56,20 +56,26 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(links: DataFrame, name: str = "links") -> DataFrame:
+def components(links: DataFrame, name: str = "links", held: int = HELD) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v: longs) but the roots; a root is its component's smallest node.
 
     Null ends and links of a node to itself are left out; repeated links count once.  No links, no rows.
+    Whenever no more than ``held`` links are left, by count, one task ends the work.
     """
-    now = stored(
-        links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(contract, "u long, v long").distinct(),
-        name,
-    )
+    now = stored(links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    n = now.count()
+    if n > held:
+        contracted = stored(now.mapInArrow(contract, "u long, v long").distinct(), name)
+        forget(now)
+        now = contracted
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
-        if before == (state["n"], state["sum"]) or not state["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if not state["n"] or before == (state["n"], state["sum"]):
+            break
+        if state["n"] <= held:
+            now = stored(now.coalesce(1).mapInArrow(contract, "u long, v long"), name)
+            break
         before = (state["n"], state["sum"])
         # Large star: each node's larger neighbours go to its smallest neighbour (or itself).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -82,3 +88,4 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         after = stored(small, name)
         forget(now)
         now = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -67,7 +67,9 @@ class MergeList:
             self.rank.setdefault((x, y), (rank, z))
             self.made.setdefault(z, (rank, x, y))
         self.longest = max(map(len, self.vocab))
-        self._stable: dict[tuple[int, int], bool] = {}
+        #: Tokens that merges can make, and single bytes.
+        self.usable = {b: i for b, i in self.vocab.items() if len(b) == 1 or i in self.made}
+        self.known: dict[tuple[int, int], bool] = {}
 
     @property
     def sufficient_lookahead(self) -> int:
@@ -97,7 +99,7 @@ class MergeList:
         The tokens are taken apart from the inside, latest merge first: a merge of both sides' inner
         ends that ranks before either side's own last merge would have come first.
         """
-        if (known := self._stable.get((left, right))) is not None:
+        if (known := self.known.get((left, right))) is not None:
             return known
         x, y, limit, ok = left, right, len(self.rank) + 1, True
         while True:
@@ -122,9 +124,9 @@ class MergeList:
                 if found is not None and found[0] < limit:
                     ok = False
                     break
-        if len(self._stable) > 1_000_000:
-            self._stable.clear()
-        self._stable[left, right] = ok
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        self.known[left, right] = ok
         return ok
 
 
@@ -139,16 +141,23 @@ class Transducer:
         self.last: list[int | None] = [None]
 
     def _extend(self) -> None:
-        vocab, text, last, buffer = self.m.vocab, self.m.text, self.last, bytes(self.buffer)
+        usable, known, stable, longest = self.m.usable, self.m.known, self.m.stable, self.m.longest
+        last, buffer = self.last, bytes(self.buffer)
         for end in range(len(last), len(buffer) + 1):
             found = None
             # Longest token first: the first one that is stable after what stands before it.
-            for start in range(max(0, end - self.m.longest), end):
-                token = vocab.get(buffer[start:end])
-                if token is None or token not in self.m.made and end - start > 1:
+            for start in range(max(0, end - longest), end):
+                token = usable.get(buffer[start:end])
+                if token is None:
                     continue
                 before = last[start]
-                if start == 0 and before is None or before is not None and self.m.stable(before, token):
+                if before is None:
+                    if start:
+                        continue
+                    ok = True
+                elif (ok := known.get((before, token))) is None:
+                    ok = stable(before, token)
+                if ok:
                     found = token
                     break
             last.append(found)

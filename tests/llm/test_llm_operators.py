@@ -188,8 +188,9 @@ def test_large_buckets_are_searched_whole():
     rng = np.random.default_rng(4)
     values = np.unique(np.concatenate([np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64), rng.integers(0, 2**63, 5000).astype(np.uint64)]))
     found = simhash.connect(values, 4)
-    linked = components.stars([(int(a), int(b)) for us, vs in found for a, b in zip(us, vs, strict=True)])
-    assert len({linked.get(int(v), int(v)) for v in values}) == len({components.stars([(int(a), int(b)) for us, vs in simhash.search(values, 4) for a, b in zip(us, vs, strict=True)]).get(int(v), int(v)) for v in values})
+    rooted = lambda links: components.stars([(int(a), int(b)) for us, vs in links for a, b in zip(us, vs, strict=True)])
+    linked, expected = rooted(found), rooted(simhash.search(values, 4))
+    assert len({linked.get(int(v), int(v)) for v in values}) == len({expected.get(int(v), int(v)) for v in values})
 
 
 def test_components_by_rounds_equal_one_task(spark):

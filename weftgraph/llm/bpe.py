@@ -4,6 +4,7 @@ Encoding.  Text is cut into pieces (``pretokens``); within a piece the merge lis
 transducer reads a piece byte by byte.  For each position it keeps the last token of the encoding of
 the bytes so far; that token is the one whose pair with the last token before it is stable under the
 merge list, and it is unique.  Following last tokens backwards gives the encoding of any prefix.
+Only tokens that end at the position are tried; an automaton of the vocabulary names them.
 
 A later byte can change an earlier token only by a chain of merges that each take away the right-hand
 part of what the merge before it needed, each of an earlier rank.  ``sufficient_lookahead`` adds up the bytes
@@ -22,6 +23,7 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.pretokens import pieces
 from weftgraph.llm.shared import documents, text_or_empty
 
-#: Pieces of at most so many bytes are remembered, and so many of them; when full it starts anew.
+#: Pieces of at most so many bytes are remembered, and so many of them; when full, those of the round
+#: before go, and what is seen again is taken over from the round that ended.
 SHORT = 64
 REMEMBERED = 300_000
 
@@ -69,7 +72,44 @@ class MergeList:
         self.longest = max(map(len, self.vocab))
         #: Tokens that merges can make, and single bytes.
         self.usable = {b: i for b, i in self.vocab.items() if len(b) == 1 or i in self.made}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.width = max(self.text) + 1
+        #: Whether pairs are stable, by left id * width + right id.
+        self.known: dict[int, bool] = {}
+        self._build_automaton()
+
+    def _build_automaton(self) -> None:
+        """States are beginnings of tokens; one holds the longest end of the bytes read that is a beginning.
+
+        ``step[state << 8 | byte]`` is the state of the longer beginning, ``fall[state]`` that of its longest
+        proper end, ``ending[state]`` all usable tokens that it ends with, as (id, length), longest first.
+        """
+        self.step: dict[int, int] = {}
+        own: list[int | None] = [None]
+        byte_of, parent, depth = [0], [0], [0]
+        for token, number in self.usable.items():
+            state = 0
+            for byte in token:
+                to = self.step.get(state << 8 | byte)
+                if to is None:
+                    to = self.step[state << 8 | byte] = len(own)
+                    own.append(None)
+                    byte_of.append(byte)
+                    parent.append(state)
+                    depth.append(depth[state] + 1)
+                state = to
+            own[state] = number
+        self.fall = [0] * len(own)
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        for state in sorted(range(1, len(own)), key=depth.__getitem__):
+            if parent[state]:
+                self.fall[state] = self.next_state(self.fall[parent[state]], byte_of[state])
+            shorter = self.ending[self.fall[state]]
+            self.ending[state] = shorter if own[state] is None else ((own[state], depth[state]), *shorter)
+
+    def next_state(self, state: int, byte: int) -> int:
+        while (to := self.step.get(state << 8 | byte)) is None and state:
+            state = self.fall[state]
+        return to or 0
 
     @property
     def sufficient_lookahead(self) -> int:
@@ -99,7 +139,7 @@ class MergeList:
         The tokens are taken apart from the inside, latest merge first: a merge of both sides' inner
         ends that ranks before either side's own last merge would have come first.
         """
-        if (known := self.known.get((left, right))) is not None:
+        if (known := self.known.get(left * self.width + right)) is not None:
             return known
         x, y, limit, ok = left, right, len(self.rank) + 1, True
         while True:
@@ -126,7 +166,7 @@ class MergeList:
                     break
         if len(self.known) > 1_000_000:
             self.known.clear()
-        self.known[left, right] = ok
+        self.known[left * self.width + right] = ok
         return ok
 
 
@@ -139,28 +179,34 @@ class Transducer:
         self.buffer = bytearray()
         #: last token of each prefix of the buffer that is held; None where no token ends
         self.last: list[int | None] = [None]
+        self.state = 0
 
     def _extend(self) -> None:
-        usable, known, stable, longest = self.m.usable, self.m.known, self.m.stable, self.m.longest
-        last, buffer = self.last, bytes(self.buffer)
-        for end in range(len(last), len(buffer) + 1):
+        step, fall, ending, known, stable = self.m.step, self.m.fall, self.m.ending, self.m.known, self.m.stable
+        last, state, end, width = self.last, self.state, len(self.last), self.m.width
+        for byte in memoryview(self.buffer)[end - 1 :]:
+            while (to := step.get(state << 8 | byte)) is None and state:
+                state = fall[state]
+            state = to or 0
             found = None
             # Longest token first: the first one that is stable after what stands before it.
-            for start in range(max(0, end - longest), end):
-                token = usable.get(buffer[start:end])
-                if token is None:
+            for token, size in ending[state]:
+                start = end - size
+                if start < 0:
                     continue
                 before = last[start]
                 if before is None:
                     if start:
                         continue
                     ok = True
-                elif (ok := known.get((before, token))) is None:
+                elif (ok := known.get(before * width + token)) is None:
                     ok = stable(before, token)
                 if ok:
                     found = token
                     break
             last.append(found)
+            end += 1
+        self.state = state
 
     def _path(self, end: int) -> list[int]:
         out, text = [], self.m.text
@@ -188,7 +234,7 @@ class Transducer:
 
     def finish(self) -> list[int]:
         out = self._path(len(self.buffer))
-        self.buffer, self.last = bytearray(), [None]
+        self.buffer, self.last, self.state = bytearray(), [None], 0
         return out
 
 
@@ -200,24 +246,32 @@ class BpeCodec:
     def __init__(self, path: str):
         self.merges = MergeList(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         special = sorted(self.merges.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         size = max(self.merges.text) + 1
         self.bytes_of = [self.merges.text.get(i, b"") for i in range(size)]
 
     def _piece(self, piece: str) -> bytes:
-        data = piece.encode()
+        """Ids of a piece that isn't among the known ones of this round."""
+        out = self.older.get(piece)
+        if out is None:
+            data = piece.encode()
+            out = self._transduced(data)
+            if len(data) > SHORT:
+                return out
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known[piece] = out
+        return out
+
+    def _transduced(self, data: bytes) -> bytes:
         transducer = Transducer(self.merges)
         ids: list[int] = []
         for lo in range(0, len(data), self.CHUNK):
             ids += transducer.feed(data[lo : lo + self.CHUNK])
         ids += transducer.finish()
-        out = np.array(ids, "<u4").tobytes()
-        if len(data) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_stream(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, piece by piece."""
@@ -225,13 +279,21 @@ class BpeCodec:
             if i % 2:
                 yield np.array([self.merges.special[part]], "<u4").tobytes()
                 continue
-            known = self.known
             for piece in pieces(part):
-                found = known.get(piece)
+                found = self.known.get(piece)
                 yield self._piece(piece) if found is None else found
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.encode_stream(text))
+        """As :meth:`encode_stream`, joined; pieces are looked up all at once."""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.encode_stream(text))
+        cut = pieces(text)
+        found = list(map(self.known.get, cut))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._piece(cut[i]) if (ids := self.known.get(cut[i])) is None else ids
+        return b"".join(found)
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         machine = codecs.getincrementaldecoder("utf-8")("replace")

@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm.pretokens import pieces
 from weftgraph.llm.shared import documents, text_or_empty
 
-#: Pieces of at most so many bytes are remembered, and so many of them; when full, those of the round
+#: Pieces of at most so many bytes are remembered, so many of them a round; when full, those of the round
 #: before go, and what is seen again is taken over from the round that ended.
 SHORT = 64
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def byte_signs() -> dict[str, int]:

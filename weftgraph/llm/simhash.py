@@ -33,6 +33,8 @@ BITS = 64
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
+#: Shingles that are held at once; a longer text's bits are counted span by span.
+AT_ONCE = 32_768
 #: Distinct fingerprints that the parts and thresholds are fitted on, at most.
 SAMPLE = 20_000
 PAIRS = 400_000
@@ -59,9 +61,15 @@ def fingerprint(text: str) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - SHINGLE + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], repeat(SEED)), np.uint64, n)
-    codes = hashes.astype("<u8").view(np.uint8).reshape(n, 8) + np.arange(0, 2048, 256)
-    ones = np.bincount(codes.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS
+    del words
+    counts = np.zeros(2048, np.int64)
+    for lo in range(0, n, AT_ONCE):
+        hi = min(lo + AT_ONCE, n)
+        spans = zip(starts[lo:hi].tolist(), ends[lo + SHINGLE - 1 : hi + SHINGLE - 1].tolist(), strict=True)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in spans], repeat(SEED)), np.uint64, hi - lo)
+        codes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+        counts += np.bincount(codes.ravel(), minlength=2048)
+    ones = counts.reshape(8, 256) @ BYTE_BITS
     return int(np.packbits(ones.ravel() * 2 > n, bitorder="little").view("<u8")[0])
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.pretokens import pieces
-from weftgraph.llm.shared import documents, text_or_empty
+from weftgraph.llm.shared import documents, given_back, text_or_empty
 
 #: Pieces of at most so many bytes are remembered, so many of them a round; when full, those of the round
 #: before go, and what is seen again is taken over from the round that ended.
@@ -338,7 +338,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_tokens", "ids", "decoded"])
 
     shape = "doc_id long, n_tokens long, ids binary, decoded string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, shape)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(lambda batches: given_back(run(batches), codec), shape)
 
 
 def digests(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -358,7 +358,7 @@ def digests(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:width], kinds, strict=False)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:width])
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, shape)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(lambda batches: given_back(run(batches), codec), shape)
 
 
 def op5_bpe_stream(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
 
 
+def given_back(rows: Iterator[pa.RecordBatch], *caches) -> Iterator[pa.RecordBatch]:
+    """``rows``; once they end, what the task has cached goes: workers are reused, and later stages need the memory."""
+    try:
+        yield from rows
+    finally:
+        for cache in caches:
+            cache.cache_clear()
+        pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

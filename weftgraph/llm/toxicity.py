@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import documents, forget, fresh_path, small_enough, stored, text_or_empty
+from weftgraph.llm.shared import documents, forget, fresh_path, given_back, small_enough, stored, text_or_empty
 from weftgraph.llm.token_output import filesystem
 
 SYMBOL_BITS = 6
@@ -274,7 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "mean_ratio", "window_ratio"])
 
     shape = "doc_id long, held_out boolean, score double, predicted int, mean_ratio double, window_ratio double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text")).mapInArrow(score, shape)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text")).mapInArrow(lambda batches: given_back(score(batches), load_table), shape)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -286,7 +286,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < THRESHOLD for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda batches: given_back(keep(batches), load_table), docs.schema)
 
 
 def op1_kneser_ney_toxicity(spark, sf_dir: str) -> DataFrame:

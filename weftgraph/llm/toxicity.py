@@ -77,10 +77,14 @@ def text_codes(text: str) -> np.ndarray:
     return codes
 
 
-def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of all sequences of one order more than ``lower``."""
+def _discount(counts: np.ndarray) -> np.float32:
     once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = np.float32(once / (once + 2 * twice)) if once else np.float32(0.5)
+    return np.float32(once / (once + 2 * twice)) if once else np.float32(0.5)
+
+
+def _level(counts: np.ndarray, lower: np.ndarray, discount: np.float32 | None = None) -> np.ndarray:
+    """Interpolated probabilities of sequences of one order more than ``lower``; all of them, or those of one first symbol."""
+    discount = _discount(counts) if discount is None else discount
     rows = counts.reshape(-1, SIGNS)
     total = rows.sum(axis=1)
     kinds = (rows > 0).sum(axis=1).astype(np.float32)
@@ -93,29 +97,37 @@ def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _continuations(counts: np.ndarray) -> dict[int, np.ndarray]:
-    """Counts by order: below the top, how many symbols have been seen before the sequence."""
-    out = {ORDER: counts}
-    for order in range(ORDER - 1, 0, -1):
+def _continuations(*classes: np.ndarray) -> dict[int, np.ndarray]:
+    """Counts by order below the top: how many symbols have been seen before the sequence, in any of the classes."""
+    seen = np.zeros(CODES // SIGNS, np.float32)
+    for slab in zip(*(c.reshape(SIGNS, -1) for c in classes), strict=True):
+        seen += np.any([part > 0 for part in slab], axis=0)
+    out = {ORDER - 1: seen}
+    for order in range(ORDER - 2, 0, -1):
         out[order] = (out[order + 1].reshape(SIGNS, -1) > 0).sum(axis=0).astype(np.float32)
     return out
 
 
 def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """For every code the log of its probability under the toxic model over that under the ordinary one."""
-    pooled = _continuations(toxic + ordinary)
+    """For every code the log of its probability under the toxic model over that under the ordinary one.
+
+    The top order is worked out first symbol by first symbol, so only counts and result are held whole.
+    """
+    pooled = _continuations(toxic, ordinary)
     shared = np.full(SIGNS, 1 / SIGNS, np.float32)
     for order in range(1, SHARED + 1):
         shared = _level(pooled[order], shared)
-    del pooled
-    out = None
-    for sign, counts in ((1, toxic), (-1, ordinary)):
+    models = []
+    for counts in (toxic, ordinary):
         by_order, p = _continuations(counts), shared
-        for order in range(SHARED + 1, ORDER + 1):
+        for order in range(SHARED + 1, ORDER):
             p = _level(by_order[order], p)
-        p = np.log(np.maximum(p, 1e-12))
-        out = p if out is None else out - p
-    return out.astype(np.float16)
+        models.append((counts.reshape(SIGNS, -1), p, _discount(counts)))
+    out = np.empty((SIGNS, CODES // SIGNS), np.float16)
+    for first in range(SIGNS):
+        a, b = (np.log(np.maximum(_level(counts[first], p, discount), 1e-12)) for counts, p, discount in models)
+        out[first] = a - b
+    return out.reshape(-1)
 
 
 def evidence(table: np.ndarray, text: str) -> tuple[float, float]:
@@ -176,26 +188,29 @@ def count_codes(texts: DataFrame) -> DataFrame:
 def build_tables(counts: DataFrame, folder: str) -> list[str]:
     """Write the tables of half 0, half 1 and all; counts have at most ``4 * CODES`` rows, whatever the corpus."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = {(t, h): np.zeros(CODES, np.float32) for t in (0, 1) for h in (0, 1)}
-        for batch in batches:
-            toxic, half, code, n = (batch.column(i).to_numpy() for i in range(4))
-            for t, h in dense:
-                mine = (toxic == t) & (half == h)
-                dense[t, h][code[mine]] = n[mine]
-        system, base = filesystem(folder)
-        system.create_dir(base, recursive=True)
-        for name in ("0", "1", "all"):
-            if name == "all":
+    def build(name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dense = [np.zeros(CODES, np.float32) for _ in (0, 1)]
+            for batch in batches:
+                toxic, half, code, n = (batch.column(i).to_numpy() for i in range(4))
                 for t in (0, 1):
-                    dense[t, 0] += dense[t, 1]
-            table = log_ratios(dense[1, int(name == "1")], dense[0, int(name == "1")])
+                    for h in (0, 1):
+                        mine = (toxic == t) & (half == h)
+                        dense[t][code[mine]] += n[mine]
+            table = log_ratios(dense[1], dense[0])
+            system, base = filesystem(folder)
+            system.create_dir(base, recursive=True)
             with system.open_output_stream(f"{base}/{name}") as file:
-                file.write(table.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+                file.write(table.data)
+            yield pa.RecordBatch.from_arrays([pa.array([len(table)], pa.int64())], ["n"])
+
+        return run
 
-    # One task by design: its input is bounded by the alphabet.  An empty row makes sure it runs.
-    counts.sparkSession.range(1).select(F.lit(-1).alias("toxic"), F.lit(0).alias("half"), F.lit(0).alias("code"), F.lit(0).cast("long").alias("n")).unionByName(counts).coalesce(1).mapInArrow(run, "n long").collect()
+    # One task a table by design, one after another: its input is bounded by the alphabet.  An empty row makes sure it runs.
+    none = counts.sparkSession.range(1).select(F.lit(-1).alias("toxic"), F.lit(0).alias("half"), F.lit(0).alias("code"), F.lit(0).cast("long").alias("n"))
+    for name in ("0", "1", "all"):
+        part = counts if name == "all" else counts.where(F.col("half") == int(name))
+        none.unionByName(part).coalesce(1).mapInArrow(build(name), "n long").collect()
     return [f"{folder}/{name}" for name in ("0", "1", "all")]
 
 

@@ -57,6 +57,39 @@ def test_kneser_ney_probabilities_add_up():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_toxicity_recall_by_language_on_given_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    scored = toxicity.op1_kneser_ney_toxicity(spark, folder).where("held_out").select("doc_id", "predicted")
+    known = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    caught = {}
+    for r in scored.join(known, "doc_id").collect():
+        caught.setdefault((r["lang"], r["toxic"]), []).append(r["predicted"])
+    print({k: (sum(v), len(v)) for k, v in sorted(caught.items())})
+    for lang in ("en", "fr", "de", "es"):
+        assert sum(caught[lang, 1]) >= 0.85 * len(caught[lang, 1]) and sum(caught[lang, 0]) <= 0.02 * len(caught[lang, 0])
+
+
+def test_toxicity_counts_real_letters(spark):
+    words = ["réeux", "rèeux", "𐐀𐐁", "𐐂𐐁", "a1", "a2"]
+    counted = toxicity.gram_rows(spark.createDataFrame([(w,) for w in words], "word string")).select("gram").distinct().count()
+    assert counted == len({g for w in words for g in toxicity.grams(w)}) == 22
+
+
+def test_toxicity_levels_equal_the_dense_form(spark):
+    rng = random.Random(4)
+    pairs = {(a, b): rng.randint(1, 9) for a in "abcde" for b in "abcdef" if rng.random() < 0.6}
+    counts = spark.createDataFrame([(a + b, n, n, n) for (a, b), n in pairs.items()], "gram string, n0 long, n1 long, n2 long")
+    wanted = spark.createDataFrame([(a + b,) for a in "abcde" for b in "abcdef"], "gram string")
+    found = {r["gram"]: r["p2"] for r in toxicity.pooled(counts, wanted, (1, 2)).collect()}
+    dense, below = np.zeros((toxicity.SIGNS, toxicity.SIGNS), np.float32), np.zeros(toxicity.SIGNS, np.float32)
+    for (a, b), n in pairs.items():
+        dense[ord(a) - 97, ord(b) - 97] = n
+        below[ord(b) - 97] += 1
+    flat = np.full(toxicity.SIGNS, 1 / (np.count_nonzero(below) + 1), np.float32)
+    expected = toxicity._level(dense.reshape(-1), toxicity._level(below, flat)).reshape(toxicity.SIGNS, -1)
+    assert all(abs(p - expected[ord(g[0]) - 97, ord(g[1]) - 97]) < 1e-5 for g, p in found.items()) and len(found) == 30
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 1024, 1025, 5000):

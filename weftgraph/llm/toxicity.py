@@ -1,80 +1,76 @@
-"""Toxicity by two class-conditional Kneser-Ney models over characters.
-
-Texts become sequences of ``2 ** SYMBOL_BITS`` symbols (letters in lower case, one sign each for white
-space, digits and other ASCII, the rest hashed).  A sequence of ``ORDER`` symbols is a number below
-``2 ** (SYMBOL_BITS * ORDER)``, which bounds every table whatever the corpus holds.
-
-* Counts cover the whole texts of all labelled rows that may be learnt from; tasks pre-aggregate.
-* A class's model interpolates absolute discounts down from order ``ORDER``; orders below the top use
-  continuation counts.  Orders up to ``SHARED`` use the continuation counts of both classes pooled, so
-  what a class has rarely seen falls back on the same distribution in both models and says nothing.
-* A text's evidence is the difference of its length-normalised log-likelihoods, over the whole text
-  and over its most toxic ``WINDOW`` symbols: one insult in a long text would drown in the mean alone.
-* A logistic curve over the two turns evidence into a score.  It is fitted on at most
-  ``CALIBRATION_ROWS`` labelled rows, each scored by models of the other half of the labelled rows.
-
-The finished table of log-ratios is one file of 32 MB in the shared folder; each worker loads it once.
+"""Toxicity by class-conditional Kneser-Ney models over the letters of words, of order 7, in distributed tables.
+
+A text is its words: runs of letters and digits, or of other signs, in lower case, nothing folded.  A word's
+probability is that of its letters and its end, each given the ``ORDER - 1`` letters before it in the word.
+
+* All counts are rows of tables keyed by the n-gram itself, so what is gathered grows with the corpus; no
+  task and no driver holds a table.
+* The pooled model of both classes interpolates absolute discounts over ``ORDERS``; orders below the top
+  use continuation counts.  Each class's model discounts its own counts of order ``ORDER`` and falls back on
+  the pooled probability, with ``PRIOR`` more counts' weight: what a class has rarely seen says nothing.
+* A word's evidence is its log-ratio under the two models, worked out once a distinct word.  A text's is the
+  mean over its words, the means of its 1, 2, 4 and 8 most toxic words, and its length.
+* A logistic curve over these turns evidence into a score.  It is fitted on at most ``CALIBRATION_ROWS``
+  labelled rows, each scored by models of the other half of the labelled rows.
+
+Words that make up ``1 / COMMON`` of the corpus or more (so at most ``COMMON`` of them) are looked up in the
+tasks, all others by a join.  Log-ratios are summed as whole millionths, so that no order of rows shows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import documents, forget, fresh_path, given_back, small_enough, stored, text_or_empty
-from weftgraph.llm.token_output import filesystem
+from weftgraph.llm.shared import documents, forget, small_enough, stored, text_or_empty
 
-SYMBOL_BITS = 6
-ORDER = 4
-SHARED = 2
-WINDOW = 16
+ORDER = 7
+ORDERS = (1, 3, 5, 7)
+PRIOR = 20.0
+TOPS = (1, 2, 4, 8)
+MOST = max(TOPS)
+COMMON = 50_000
+UNIT = 1e6
 CALIBRATION_ROWS = 20_000
-#: Labels up to so many rows (some 100 MB when broadcast) are joined by broadcast, more by a shuffle.
+#: Labels, or texts to reject, up to so many rows (some 100 MB when broadcast) are joined by broadcast, more by a shuffle.
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.7
-SIGNS = 1 << SYMBOL_BITS
-CODES = SIGNS**ORDER
-
-
-@lru_cache(1)
-def symbols() -> np.ndarray:
-    """The symbol of each code point below 2 ** 16; those above share the last one's."""
-    table = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        sign = (chr(c).lower() or " ")[0]
-        if "a" <= sign <= "z":
-            table[c] = ord(sign) - ord("a") + 1
-        elif sign.isspace():
-            table[c] = 0
-        elif sign.isdigit():
-            table[c] = 27
-        elif c < 128:
-            table[c] = 28
-        else:
-            table[c] = 29 + (ord(sign) * 2654435761 >> 7) % (SIGNS - 29)
-    return table
-
-
-def text_codes(text: str) -> np.ndarray:
-    """The text's ``ORDER``-symbol sequences, one ending at each symbol; runs of white space count once."""
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    found = symbols()[np.minimum(points, 0xFFFF)].astype(np.int32)
-    space = found == 0
-    if len(found) > 1:
-        found = found[np.concatenate([[True], ~(space[1:] & space[:-1])])]
-    found = np.concatenate([np.zeros(ORDER - 1, np.int32), found, np.zeros(1, np.int32)])
-    n = len(found) - ORDER + 1
-    codes = np.zeros(n, np.int32)
-    for k in range(ORDER):
-        codes = (codes << SYMBOL_BITS) | found[k : k + n]
-    return codes
+#: The dense form of one level, which tests hold the joined one against, has so many symbols.
+SIGNS = 64
+#: The counts of the labelled rows: of half 0, of half 1, of all.
+SETS = (0, 1, 2)
+#: Words that a task holds before it passes counts on, and rows of a batch of n-grams.
+HELD, BATCH = 200_000, 100_000
+TOKEN = re.compile(r"\w+|[^\w\s]+")
+
+
+def tokens(text: str) -> list[str]:
+    return TOKEN.findall(text.lower())
+
+
+def grams(word: str) -> list[str]:
+    """The ``ORDER``-grams that end at each letter of a word, and at its end; no word holds white space."""
+    return begin_grams(" " + word + "\n")
+
+
+def begin_grams(begin: str) -> list[str]:
+    """Those of a blank and the first letters of a word."""
+    s = " " * (ORDER - 2) + begin
+    return [s[i : i + ORDER] for i in range(len(begin) - 1)]
+
+
+def units(word: str) -> list[str]:
+    """A word's begin, which stands for its first ``ORDER`` n-grams and is shared by many words, and its further n-grams."""
+    s = word + "\n"
+    return [" " + s[:ORDER], *(s[i : i + ORDER] for i in range(1, len(s) - ORDER + 1))]
 
 
 def _discount(counts: np.ndarray) -> np.float32:
@@ -83,7 +79,7 @@ def _discount(counts: np.ndarray) -> np.float32:
 
 
 def _level(counts: np.ndarray, lower: np.ndarray, discount: np.float32 | None = None) -> np.ndarray:
-    """Interpolated probabilities of sequences of one order more than ``lower``; all of them, or those of one first symbol."""
+    """Interpolated probabilities of sequences of one order more than ``lower``, dense."""
     discount = _discount(counts) if discount is None else discount
     rows = counts.reshape(-1, SIGNS)
     total = rows.sum(axis=1)
@@ -97,54 +93,6 @@ def _level(counts: np.ndarray, lower: np.ndarray, discount: np.float32 | None =
     return out.reshape(-1)
 
 
-def _continuations(*classes: np.ndarray) -> dict[int, np.ndarray]:
-    """Counts by order below the top: how many symbols have been seen before the sequence, in any of the classes."""
-    seen = np.zeros(CODES // SIGNS, np.float32)
-    for slab in zip(*(c.reshape(SIGNS, -1) for c in classes), strict=True):
-        seen += np.any([part > 0 for part in slab], axis=0)
-    out = {ORDER - 1: seen}
-    for order in range(ORDER - 2, 0, -1):
-        out[order] = (out[order + 1].reshape(SIGNS, -1) > 0).sum(axis=0).astype(np.float32)
-    return out
-
-
-def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """For every code the log of its probability under the toxic model over that under the ordinary one.
-
-    The top order is worked out first symbol by first symbol, so only counts and result are held whole.
-    """
-    pooled = _continuations(toxic, ordinary)
-    shared = np.full(SIGNS, 1 / SIGNS, np.float32)
-    for order in range(1, SHARED + 1):
-        shared = _level(pooled[order], shared)
-    models = []
-    for counts in (toxic, ordinary):
-        by_order, p = _continuations(counts), shared
-        for order in range(SHARED + 1, ORDER):
-            p = _level(by_order[order], p)
-        models.append((counts.reshape(SIGNS, -1), p, _discount(counts)))
-    out = np.empty((SIGNS, CODES // SIGNS), np.float16)
-    for first in range(SIGNS):
-        a, b = (np.log(np.maximum(_level(counts[first], p, discount), 1e-12)) for counts, p, discount in models)
-        out[first] = a - b
-    return out.reshape(-1)
-
-
-def evidence(table: np.ndarray, text: str) -> tuple[float, float]:
-    """Length-normalised log-likelihood difference: of the whole text, of its most toxic window."""
-    ratios = table[text_codes(text)].astype(np.float64)
-    sums = np.concatenate([[0.0], np.cumsum(ratios)])
-    width = min(WINDOW, len(ratios))
-    return sums[-1] / len(ratios), float((sums[width:] - sums[:-width]).max()) / WINDOW
-
-
-@lru_cache(2)
-def load_table(path: str) -> np.ndarray:
-    system, place = filesystem(path)
-    with system.open_input_stream(place) as file:
-        return np.frombuffer(file.read(), np.float16)
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that labels are never learnt from: crc32 of the id as text leaves 1 by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
@@ -161,89 +109,214 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return texts.join(small_enough(known, BROADCAST_LABELS), "doc_id").select("doc_id", "toxic", _half().alias("half"), "text")
 
 
-def count_codes(texts: DataFrame) -> DataFrame:
-    """(toxic, half, code, n) over all texts."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, and for each class and half how often: o0, o1, t0, t1) over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Counter] = {k: Counter() for k in range(4)}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for k, counter in held.items():
+                if counter:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(counter), pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["k", "word", "n"])
+                counter.clear()
+
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held[k].update(tokens(text.as_py()))
+                if sum(map(len, held.values())) > HELD:
+                    yield from rows()
+        yield from rows()
+
+    found = texts.select((F.when(F.col("toxic") > 0, 2).otherwise(0) + F.col("half")).alias("k"), "text").mapInArrow(run, "k int, word string, n long")
+    return found.groupBy("word").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(("o0", "o1", "t0", "t1"))])
+
+
+def part_rows(words: DataFrame, column: str, parts: Callable[[str], list[str]], name: str) -> DataFrame:
+    """The rows of ``words`` once for each part of ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            fresh: dict[tuple[int, int], list[np.ndarray]] = {}
-            for toxic, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                fresh.setdefault((int(toxic > 0), half), []).append(text_codes(text.as_py()))
-            for key, parts in fresh.items():
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                if key in held:
-                    codes, n = np.concatenate([held[key][0], codes]), np.concatenate([held[key][1], n])
-                    codes, inverse = np.unique(codes, return_inverse=True)
-                    n = np.bincount(inverse, weights=n).astype(np.int64)
-                held[key] = codes, n
-        for (toxic, half), (codes, n) in held.items():
-            for lo in range(0, len(codes), 100_000):
-                size = len(codes[lo : lo + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([toxic] * size, pa.int32()), pa.array([half] * size, pa.int32()), pa.array(codes[lo : lo + 100_000].astype(np.int32)), pa.array(n[lo : lo + 100_000].astype(np.int64))], ["toxic", "half", "code", "n"])
-
-    return texts.select("toxic", "half", "text").mapInArrow(run, "toxic int, half int, code int, n long").groupBy("toxic", "half", "code").agg(F.sum("n").alias("n"))
-
-
-def build_tables(counts: DataFrame, folder: str) -> list[str]:
-    """Write the tables of half 0, half 1 and all; counts have at most ``4 * CODES`` rows, whatever the corpus."""
-
-    def build(name: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dense = [np.zeros(CODES, np.float32) for _ in (0, 1)]
-            for batch in batches:
-                toxic, half, code, n = (batch.column(i).to_numpy() for i in range(4))
-                for t in (0, 1):
-                    for h in (0, 1):
-                        mine = (toxic == t) & (half == h)
-                        dense[t][code[mine]] += n[mine]
-            table = log_ratios(dense[1], dense[0])
-            system, base = filesystem(folder)
-            system.create_dir(base, recursive=True)
-            with system.open_output_stream(f"{base}/{name}") as file:
-                file.write(table.data)
-            yield pa.RecordBatch.from_arrays([pa.array([len(table)], pa.int64())], ["n"])
-
-        return run
-
-    # One task a table by design, one after another: its input is bounded by the alphabet.  An empty row makes sure it runs.
-    none = counts.sparkSession.range(1).select(F.lit(-1).alias("toxic"), F.lit(0).alias("half"), F.lit(0).alias("code"), F.lit(0).cast("long").alias("n"))
-    for name in ("0", "1", "all"):
-        part = counts if name == "all" else counts.where(F.col("half") == int(name))
-        none.unionByName(part).coalesce(1).mapInArrow(build(name), "n long").collect()
-    return [f"{folder}/{name}" for name in ("0", "1", "all")]
-
-
-def fit_curve(rows: list[tuple[int, float, float]]) -> tuple[float, float, float]:
-    """Intercept and weights of (mean, window) by ridge-penalised logistic regression."""
+            at, found = [], []
+
+            def rows(batch=batch) -> pa.RecordBatch:
+                part = batch.take(pa.array(at, pa.int32()))
+                return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, name])
+
+            for i, word in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+                for g in parts(word):
+                    at.append(i)
+                    found.append(g)
+                    if len(at) >= BATCH:
+                        yield rows()
+                        at, found = [], []
+            if at:
+                yield rows()
+
+    return words.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + f", {name} string")
+
+
+def gram_rows(words: DataFrame) -> DataFrame:
+    """The rows of ``words`` once for each ``gram`` of ``word``."""
+    return part_rows(words, "word", grams, "gram")
+
+
+def is_begin() -> Column:
+    return F.startswith(F.col("unit"), F.lit(" "))
+
+
+def discounts(counts: DataFrame, names: list[str]) -> list[float]:
+    """The absolute discount of each count column, from how many n-grams were seen once and twice."""
+    row = counts.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in names for k in (1, 2)]).first()
+    return [row[f"{c}_1"] / (row[f"{c}_1"] + 2 * row[f"{c}_2"]) if row[f"{c}_1"] else 0.5 for c in names]
+
+
+def contexts(counts: DataFrame, order: int, names: list[str]) -> DataFrame:
+    """Total and number of kinds of what follows each context, for each count column."""
+    return counts.groupBy(F.substring("gram", 1, order - 1).alias("h")).agg(*[F.sum(c).alias(f"{c}_total") for c in names], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in names])
+
+
+def interpolated(name: str, discount: float, lower: Column, prior: float = 0.0) -> Column:
+    """One level: the discounted count, and what the discount (and the prior) leave to ``lower``."""
+    count, total, kinds = (F.coalesce(F.col(c), F.lit(0)) for c in (name, f"{name}_total", f"{name}_kinds"))
+    whole = total + F.lit(prior)
+    return F.when(whole == 0, lower).otherwise((F.greatest(count - F.lit(discount), F.lit(0.0)) + (F.lit(prior) + F.lit(discount) * kinds) * lower) / whole)
+
+
+def pooled(counts: DataFrame, wanted: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """``wanted`` (gram of the highest of ``orders``) with p0, p1, p2 of the pooled model; ``counts``: gram, n0, n1, n2."""
+    *below, order = orders
+    names, ps = [f"n{k}" for k in SETS], [f"p{k}" for k in SETS]
+    found = discounts(counts, names)
+    if not below:
+        # One context only: its totals are three numbers.
+        row = counts.agg(*[F.sum(c).alias(c) for c in names], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in names]).first()
+        totals = [F.lit(row[c] or 0).alias(f"{c}_total") for c in names] + [F.lit(row[f"{c}_kinds"]).alias(f"{c}_kinds") for c in names]
+        level = wanted.join(counts, "gram", "left").select("gram", *names, *totals)
+        return level.select("gram", *[interpolated(c, d, F.lit(1 / (row[f"{c}_kinds"] + 1))).alias(p) for c, d, p in zip(names, found, ps, strict=True)])
+    short = F.substring("gram", order - below[-1] + 1, below[-1])
+    lower_counts = stored(counts.groupBy(short.alias("gram")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]), "toxicity-counts")
+    lower = pooled(lower_counts, wanted.select(short.alias("gram")).distinct(), tuple(below)).select(F.col("gram").alias("short"), *[F.col(p).alias(f"l{p}") for p in ps])
+    level = wanted.withColumn("short", short).withColumn("h", F.substring("gram", 1, order - 1)).join(lower, "short").join(counts, "gram", "left").join(contexts(counts, order, names), "h", "left")
+    out = stored(level.select("gram", *[interpolated(c, d, F.col(f"l{p}")).alias(p) for c, d, p in zip(names, found, ps, strict=True)]), "toxicity-level")
+    forget(lower_counts)
+    return out
+
+
+def word_ratios(counted: DataFrame, words: DataFrame) -> DataFrame:
+    """``words`` that say something, with their log-ratios in millionths (r0, r1, r2) under the models of half 0, half 1, all."""
+    columns = ("o0", "o1", "t0", "t1")
+    counted_units = stored(part_rows(counted, "word", units, "unit").groupBy("unit").agg(*[F.sum(c).alias(c) for c in columns]), "toxicity-units")
+    of_begins = part_rows(counted_units.where(is_begin()), "unit", begin_grams, "gram").select("gram", *columns)
+    counts = of_begins.unionByName(counted_units.where(~is_begin()).withColumnRenamed("unit", "gram")).groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns])
+    counts = stored(counts.withColumns({"o2": F.col("o0") + F.col("o1"), "t2": F.col("t0") + F.col("t1")}).withColumns({f"n{k}": F.col(f"o{k}") + F.col(f"t{k}") for k in SETS}), "toxicity-counts")
+    classes = [f"{c}{k}" for k in SETS for c in "ot"]
+    # After a context that no labelled row has both models are the pooled one, and their ratio is 1.
+    after = stored(contexts(counts, ORDER, classes), "toxicity-contexts")
+    forget(counted_units)
+    letters = part_rows(words, "word", units, "unit")
+    used = stored(letters.select("unit").distinct(), "toxicity-used")
+    begins = part_rows(used.where(is_begin()), "unit", begin_grams, "gram")
+    wanted = begins.select("gram").unionByName(used.where(~is_begin()).select(F.col("unit").alias("gram"))).distinct()
+    wanted = stored(wanted.join(after.select("h"), F.substring("gram", 1, ORDER - 1) == F.col("h"), "left_semi"), "toxicity-wanted")
+    p = pooled(counts.select("gram", *[f"n{k}" for k in SETS]), wanted)
+    level = p.withColumn("h", F.substring("gram", 1, ORDER - 1)).join(counts.select("gram", *classes), "gram", "left").join(after, "h")
+    found = dict(zip(classes, discounts(counts, classes), strict=True))
+    model = lambda c, k: interpolated(f"{c}{k}", found[f"{c}{k}"], F.col(f"p{k}"), PRIOR)
+    rs = [f"r{k}" for k in SETS]
+    some = "r0 <> 0 or r1 <> 0 or r2 <> 0"
+    ratios = stored(level.select("gram", *[F.round(UNIT * F.log(model("t", k) / model("o", k))).cast("long").alias(f"r{k}") for k in SETS]).where(some), "toxicity-ratios")
+    for table in (counts, after, wanted, p):
+        forget(table)
+    sums = begins.join(ratios, "gram").groupBy("unit").agg(*[F.sum(r).alias(r) for r in rs]).unionByName(ratios.withColumnRenamed("gram", "unit").where(~is_begin())).where(some)
+    out = stored(letters.join(sums, "unit").groupBy("word").agg(*[F.sum(r).alias(r) for r in rs]).where(some), "toxicity-words")
+    for table in (used, ratios):
+        forget(table)
+    return out
+
+
+def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
+    """word, uses: every word of the texts."""
+    texts = docs.select(F.lit(0).alias("toxic"), F.lit(0).alias("half"), text_or_empty(text_col).alias("text"))
+    return stored(word_counts(texts).select("word", F.col("o0").alias("uses")), "toxicity-vocabulary")
+
+
+@dataclass(frozen=True)
+class Model:
+    """The words that say something, those of them that tasks look up, and the curve from evidence to score."""
+
+    words: DataFrame
+    common: dict[str, tuple[int, int, int]]
+    plain: frozenset[str]
+    curve: list[float] | None = None
+
+
+def evidence(texts: DataFrame, model: Model) -> DataFrame:
+    """text_hash, tokens, total (millionths), top (millionths, the most toxic first); ``texts``: text_hash, which (of the models), text; one row a hash."""
+    common, plain = texts.sparkSession.sparkContext.broadcast(model.common), model.plain
+    skipped = texts.sparkSession.sparkContext.broadcast(plain)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
+        for batch in batches:
+            rows = []
+            for text_hash, which, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = tokens(text.as_py())
+                values = [known[w][which] for w in found if w in known]
+                rows.append((text_hash, len(found), sum(values), sorted(values, reverse=True)[:MOST]))
+            hashes, n, total, top = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(top, pa.list_(pa.int64()))], ["text_hash", "tokens", "total", "top"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, none = common.value, skipped.value
+        for batch in batches:
+            hashes, kinds, words, n = [], [], [], []
+            for text_hash, which, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for w, k in Counter(tokens(text.as_py())).items():
+                    if w not in known and w not in none:
+                        hashes.append(text_hash)
+                        kinds.append(which)
+                        words.append(w)
+                        n.append(k)
+                if len(hashes) >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["text_hash", "which", "word", "n"])
+                    hashes, kinds, words, n = [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["text_hash", "which", "word", "n"])
+
+    first = texts.mapInArrow(looked_up, "text_hash long, tokens long, total long, top array<long>").groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("tokens", "total", "top")])
+    # Equal texts count once.
+    bags = texts.mapInArrow(others, "text_hash long, which int, word string, n long").groupBy("text_hash", "which", "word").agg(F.first("n").alias("n"))
+    said = bags.join(model.words, "word").select("text_hash", "n", F.when(F.col("which") == 0, F.col("r0")).when(F.col("which") == 1, F.col("r1")).otherwise(F.col("r2")).alias("r"))
+    repeated = F.flatten(F.collect_list(F.array_repeat("r", F.least("n", F.lit(MOST)).cast("int"))))
+    rest = said.groupBy("text_hash").agg(F.sum(F.col("n") * F.col("r")).alias("rest"), F.slice(F.sort_array(repeated, asc=False), 1, MOST).alias("rest_top"))
+    both = first.join(rest, "text_hash", "left")
+    top = F.when(F.col("rest_top").isNull(), F.col("top")).otherwise(F.slice(F.sort_array(F.concat("top", "rest_top"), asc=False), 1, MOST))
+    return both.select("text_hash", "tokens", (F.col("total") + F.coalesce("rest", F.lit(0))).alias("total"), top.alias("top"))
+
+
+def features() -> list[Column]:
+    """Mean over all words, means of the most toxic ones, log of the number of words."""
+    size = F.greatest("tokens", F.lit(1))
+    tops = [F.aggregate(F.slice("top", 1, k), F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(UNIT * k) for k in TOPS]
+    return [(F.col("total") / size / F.lit(UNIT)).alias("f0"), *[t.alias(f"f{i + 1}") for i, t in enumerate(tops)], F.log(size.cast("double")).alias(f"f{len(TOPS) + 1}")]
+
+
+def fit_curve(rows: list[tuple]) -> list[float]:
+    """Intercept and weights of the features by ridge-penalised logistic regression."""
     if len({r[0] for r in rows}) < 2:
         # Nothing to tell apart: a score near 0, or near 1 if all that is known is toxic.
-        return (4.0 if rows and rows[0][0] else -4.0), 0.0, 0.0
+        return [4.0 if rows and rows[0][0] else -4.0] + [0.0] * (len(TOPS) + 2)
     y = np.array([r[0] for r in rows], float)
-    x = np.column_stack([np.ones(len(rows)), [10 * r[1] for r in rows], [r[2] for r in rows]])
-    w = np.zeros(3)
-    ridge = np.diag([1e-6, 0.1, 0.1])
-    for _ in range(50):
+    x = np.column_stack([np.ones(len(rows)), np.array([r[1:] for r in rows], float)])
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([1e-6] + [0.01] * (x.shape[1] - 1))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(10 * w[1]), float(w[2])
-
-
-@dataclass(frozen=True)
-class Model:
-    """Where the table of log-ratios is, and the curve from evidence to score."""
-
-    table: str
-    curve: tuple[float, float, float]
-
-    def score(self, text: str) -> tuple[float, float, float]:
-        """Score, whole-text evidence, window evidence."""
-        mean, window = evidence(load_table(self.table), text)
-        at = self.curve[0] + self.curve[1] * mean + self.curve[2] * window
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, at)))), mean, window
+    return [float(v) for v in w]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -252,27 +325,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     A null id is never learnt from.  Labels that are null, or of no document, are ignored.  With labels
     of one class only, or none, the curve is flat.
     """
-    spark = docs.sparkSession
     texts = labelled_texts(docs, labels, id_col, text_col, label_col)
-    counts = stored(count_codes(texts), "toxicity-counts")
-    *halves, table_of_all = build_tables(counts, fresh_path(spark, "toxicity-tables"))
+    counted = stored(word_counts(texts), "toxicity-labelled")
+    used = vocabulary(docs, text_col)
+    words = word_ratios(counted, used.select("word"))
+    least = (used.agg(F.sum("uses")).first()[0] or 0) / COMMON
+    often = used.where(F.col("uses") > F.lit(least)).join(words, "word", "left").select("word", "r0", "r1", "r2").collect()
+    common = {r["word"]: (r["r0"], r["r1"], r["r2"]) for r in often if r["r0"] is not None}
+    plain = frozenset(r["word"] for r in often if r["r0"] is None)
+    forget(counted)
+    forget(used)
+    model = Model(words, common, plain)
+    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
+    sample = texts.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("half", "text"))
+    seen = evidence(sample.select("text_hash", (1 - F.col("half")).alias("which"), "text"), model)
+    rows = sample.select("text_hash", "toxic").join(seen, "text_hash").select((F.col("toxic") > 0).cast("int").alias("toxic"), *features()).collect()
+    return Model(words, common, plain, fit_curve(sorted(tuple(r) for r in rows)))
 
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for toxic, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows.append((int(toxic > 0), *evidence(load_table(halves[1 - half]), text.as_py())))
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], ["toxic", "mean", "window"])
 
-    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
-    sample = texts.join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = sample.select("toxic", "half", "text").mapInArrow(calibrate, "toxic int, mean double, window double").collect()
-    for path in halves:
-        system, place = filesystem(path)
-        system.delete_file(place)
-    forget(counts)
-    return Model(table_of_all, fit_curve(sorted((r["toxic"], r["mean"], r["window"]) for r in rows)))
+def scores(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """text_hash, score, mean_ratio, window_ratio (mean of the most toxic words) of each distinct text."""
+    text = text_or_empty(text_col)
+    seen = evidence(docs.select(F.xxhash64(text).alias("text_hash"), F.lit(2).alias("which"), text.alias("text")), model).select("text_hash", *features())
+    at = F.lit(model.curve[0])
+    for i, w in enumerate(model.curve[1:]):
+        at = at + F.lit(w) * F.col(f"f{i}")
+    return seen.select("text_hash", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))).alias("score"), F.col("f0").alias("mean_ratio"), F.col(f"f{len(TOPS)}").alias("window_ratio"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -281,27 +359,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     Null texts score as empty ones.  A null id is not held out.  No rows in, no rows out.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([model.score(t.as_py()) for t in batch.column(2)]).reshape(-1, 3)
-            columns = [batch.column(0), batch.column(1), pa.array(found[:, 0]), pa.array((found[:, 0] >= THRESHOLD).astype(np.int32)), pa.array(found[:, 1]), pa.array(found[:, 2])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "mean_ratio", "window_ratio"])
-
-    shape = "doc_id long, held_out boolean, score double, predicted int, mean_ratio double, window_ratio double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text")).mapInArrow(lambda batches: given_back(score(batches), load_table), shape)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
+    found = rows.join(scores(docs, model, text_col), "text_hash")
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "mean_ratio", "window_ratio")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, as they are."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    at = docs.columns.index(text_col)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < THRESHOLD for t in batch.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(lambda batches: given_back(keep(batches), load_table), docs.schema)
+    toxic = stored(scores(docs, model, text_col).where(F.col("score") >= THRESHOLD).select(F.col("text_hash").alias("toxic_hash")), "toxicity-toxic")
+    return docs.join(small_enough(toxic, BROADCAST_LABELS), F.xxhash64(text_or_empty(text_col)) == F.col("toxic_hash"), "left_anti")
 
 
 def op1_kneser_ney_toxicity(spark, sf_dir: str) -> DataFrame:

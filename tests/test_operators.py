@@ -198,3 +198,10 @@ def test_stream_of_mentions(spark, tmp_path):
     q = mentions.append_to(mentions.mention_stream(stream, titles, "M"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted((r["source"], r["target"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("d1", "Alpha"), ("d2", "Alpha")]
+
+
+def test_keyword_titles_beyond_the_limit_keep_short_titles(spark):
+    articles = spark.createDataFrame([("a1", "Key and ox, oxen, é at last"), ("a2", "no word"), ("a3", "key"), ("x", "key x")], "title string, text string")
+    titles = spark.createDataFrame([(t, t.upper()) for t in ("ox", "oxen", "é", "last", "x", "absent", "key")], "lowered string, title string")
+    rows = lambda limit: sorted(map(tuple, enrich.keyword_titles(articles, titles, {"key": "K"}, limit=limit).collect()))
+    assert rows(2) == rows(100) and len(rows(2)) == 9

@@ -2,8 +2,8 @@
 
 "Text contains title" has no equality to hash on.  Up to ``BROADCAST_TITLES`` titles, counted first, the
 titles are broadcast and every text is scanned once.  Beyond that texts and titles meet on the title's
-first characters: texts are cut into their distinct grams, only grams that some title starts with are
-kept, and the pairs are verified.  Both give the same rows.
+first characters, or on the whole of a shorter title: texts are cut into their distinct grams, only grams
+that some title starts with are kept, and the pairs are verified.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -34,11 +34,14 @@ def contains_join(texts: DataFrame, lowered: str, titles: DataFrame, min_length:
     titles = titles.where(F.length("lowered") >= min_length).select(F.col("lowered").alias("t_lowered"), F.col("title").alias("t_title"))
     if fits(titles, limit):
         return texts.join(F.broadcast(titles), F.contains(F.col(lowered), F.col("t_lowered")))
-    if min_length < GRAM:
-        raise ValueError(f"more than {limit} titles need at least {GRAM} characters each")
+    # A title shorter than the gram is its own gram; texts are cut into grams of its length too.
     keyed = titles.withColumn("gram", F.substring("t_lowered", 1, GRAM))
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lowered) - (GRAM - 1)))
-    grams = texts.withColumn("gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(lowered), i, F.lit(GRAM))))))
+
+    def cut(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lowered) - (n - 1)))
+        return F.transform(places, lambda i: F.substring(F.col(lowered), i, F.lit(n)))
+
+    grams = texts.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(min(min_length, GRAM), GRAM + 1)])))))
     return grams.join(keyed, "gram").where(F.contains(F.col(lowered), F.col("t_lowered"))).drop("gram")
 
 
@@ -54,7 +57,7 @@ def document_mentions(articles: DataFrame, titles: DataFrame, rel_type: str, sel
     return found.select("source", F.col("t_title").alias("target"), F.lit(rel_type).alias("type")).distinct()
 
 
-def keyword_titles(articles: DataFrame, titles: DataFrame, patterns: Mapping[str, str], min_length: int = 1) -> DataFrame:
+def keyword_titles(articles: DataFrame, titles: DataFrame, patterns: Mapping[str, str], min_length: int = 1, limit: int = BROADCAST_TITLES) -> DataFrame:
     """An edge of each keyword's type from articles that hold both the keyword and the title.
 
     Articles without any keyword are left out before titles are looked for.
@@ -62,7 +65,7 @@ def keyword_titles(articles: DataFrame, titles: DataFrame, patterns: Mapping[str
     texts = articles.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "")).select(F.col("title").alias("source"), F.lower("text").alias("low"))
     kinds = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(k)), F.lit(v)) for k, v in patterns.items()])))
     texts = texts.where(T.mentions_any(F.col("low"), list(patterns))).withColumn("kinds", kinds)
-    found = contains_join(texts, "low", titles, min_length).where(F.col("source") != F.col("t_title"))
+    found = contains_join(texts, "low", titles, min_length, limit).where(F.col("source") != F.col("t_title"))
     return found.select("source", F.col("t_title").alias("target"), F.explode("kinds").alias("type")).distinct()
 
 

@@ -45,3 +45,21 @@ def test_stages_keep_columns(odd):
     for stage in (lambda d: toxicity.without_toxic(d, labels(d)), line_dedup.with_kept_lines, simhash.one_of_each_group, mixing.mixed_documents):
         assert stage(odd).columns == odd.columns
         stage(odd).collect()
+
+
+def test_one_of_repeated_rows_keeps_its_lines(spark):
+    text = "first line of this text\n\nsecond"
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "c"), (None, "only once here", "d"), (None, "only once here", "e"), (2, "else\nelse", "f"), (3, text + "!", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = line_dedup.deduplicated(docs).collect()
+    of = lambda i: sorted((r["kept_text"], r["n_lines"], r["n_exact"], r["n_near"]) for r in found if r["doc_id"] == i)
+    assert of(1) == [("", 2, 2, 0), ("", 2, 2, 0), (text, 2, 0, 0)]
+    assert of(None) == [("", 1, 1, 0), ("only once here", 1, 0, 0)]
+    assert of(2) == [("else", 2, 1, 0)] and of(3) == [("\nsecond!", 2, 1, 0)]
+    near = spark.createDataFrame([(5, "a line of twenty letters or more", "a"), (6, "a line of twenty letters or morE", "b"), (6, "a line of twenty letters or morE", "c")], "doc_id long, text string, source string")
+    assert sorted((r["doc_id"], r["kept_text"], r["n_exact"], r["n_near"]) for r in line_dedup.deduplicated(near).collect()) == [(5, "a line of twenty letters or more", 0, 0), (6, "", 0, 1), (6, "", 1, 0)]
+
+
+def test_one_of_repeated_rows_stays_in_a_group(spark):
+    docs = spark.createDataFrame([(1, "some words that repeat", "a"), (1, "some words that repeat", "b"), (2, "some words that repeat", "c"), (None, "x", "d")], "doc_id long, text string, source string").repartition(3)
+    assert sorted(str(r["doc_id"]) for r in simhash.one_of_each_group(docs).collect()) == ["1", "None"]

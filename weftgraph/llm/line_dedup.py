@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import documents, small_enough, stored, text_or_empty
+from weftgraph.llm.shared import copy_number, documents, small_enough, stored, text_or_empty
 
 EDITS = 2
 SHORT = 20
@@ -119,21 +119,26 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     gone = (
         dropped_lines(docs, id_col=id_col, text_col=text_col, edits=edits, short=short)
         .groupBy("doc_id", "doc_hash")
-        .agg(F.collect_set("line_no").alias("gone_lines"), F.count_if("near").alias("gone_near"))
-        .select(F.col("doc_id").alias("gone_id"), F.col("doc_hash").alias("gone_hash"), "gone_lines", "gone_near")
+        .agg(F.collect_set("line_no").alias("gone_lines"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("gone_near"))
+        .select(F.coalesce("doc_id", F.lit(0).cast(docs.schema[id_col].dataType)).alias("gone_id"), F.col("doc_id").isNull().alias("gone_no_id"), F.col("doc_hash").alias("gone_hash"), "gone_lines", "gone_near")
     )
-    hashed = docs.withColumn("text_hash", F.xxhash64(text_or_empty(text_col)))
-    joined = hashed.join(gone, hashed[id_col].eqNullSafe(gone["gone_id"]) & (hashed["text_hash"] == gone["gone_hash"]), "left")
+    # Window and join deal rows out by the same keys, so repeated rows are numbered without a shuffle of their own.
+    keys = docs.select("*", F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("__id"), F.col(id_col).isNull().alias("__no_id"), F.xxhash64(text_or_empty(text_col)).alias("__hash"))
+    hashed = keys.withColumn("__copy", copy_number(docs, ["__id", "__no_id", "__hash"], id_col, text_col))
+    joined = hashed.join(gone, (hashed["__id"] == gone["gone_id"]) & (hashed["__no_id"] == gone["gone_no_id"]) & (hashed["__hash"] == gone["gone_hash"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.coalesce("gone_lines", F.array().cast("array<int>")), i))
-    n_gone = F.coalesce(F.size("gone_lines"), F.lit(0))
-    filled = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    is_filled = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    repeated = F.col("__copy") > 1
+    kept = F.filter(lines, lambda x, i: F.when(repeated, ~is_filled(x)).otherwise(~F.array_contains(F.coalesce("gone_lines", F.array().cast("array<int>")), i)))
+    n_lines = F.coalesce(F.size(F.filter(lines, is_filled)), F.lit(0)).cast("long")
+    n_gone = F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("long")
+    n_near = F.coalesce("gone_near", F.lit(0)).cast("long")
     return joined.select(
         *[hashed[c] for c in docs.columns],
-        F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"),
-        (F.when(F.col("gone_lines").isNull(), 0).otherwise(n_gone).cast("long") - F.coalesce("gone_near", F.lit(0))).alias("n_exact"),
-        F.coalesce("gone_near", F.lit(0)).cast("long").alias("n_near"),
+        F.when(F.col("gone_lines").isNull() & ~repeated, F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        n_lines.alias("n_lines"),
+        F.when(repeated, n_lines).otherwise(n_gone - n_near).alias("n_exact"),
+        F.when(repeated, 0).otherwise(n_near).cast("long").alias("n_near"),
     )
 
 

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: the longest run without ASCII white space.
@@ -78,6 +78,12 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def copy_number(docs: DataFrame, keys: list[str], id_col: str, text_col: str) -> Column:
+    """1, 2, ... for rows that are the same under ``keys``; the further columns decide the order."""
+    rest = [F.col(f.name) for f in docs.schema if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant")]
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(0), *rest)))
+
+
 def words(text: str = "text") -> Column:
     """How many words a text has; null has none."""
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components
-from weftgraph.llm.shared import documents, stored, text_or_empty
+from weftgraph.llm.shared import copy_number, documents, stored, text_or_empty
 
 BITS = 64
 DISTANCE = 4
@@ -268,8 +268,10 @@ def op6_simhash_groups(spark, sf_dir: str) -> DataFrame:
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; rows with a null id stay.
 
-    Rows that share the smallest id stay together.
+    Of repeated rows, of the same id and the same text, one stays; texts that differ under one id stay together.
     """
-    id_col = options.get("id_col", "doc_id")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     keep = simhash_groups(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs[id_col] == keep["kept_id"], "left").where(F.col("kept_id").isNotNull() | F.col(id_col).isNull()).drop("kept_id")
+    kept = docs.join(keep, docs[id_col] == keep["kept_id"]).withColumn("__hash", F.xxhash64(text_or_empty(text_col)))
+    kept = kept.withColumn("__copy", copy_number(docs, ["kept_id", "__hash"], id_col, text_col)).where("__copy = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

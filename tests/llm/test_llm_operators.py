@@ -1,6 +1,7 @@
 """Each operator against a plain version, an exact round trip, or held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -49,14 +50,6 @@ def test_toxicity_on_rows_it_never_saw(spark):
     assert len(held) > 200 and all(r["predicted"] == (r["doc_id"] % 8 == 0) for r in held)
 
 
-def test_kneser_ney_probabilities_add_up():
-    counts = np.zeros(toxicity.SIGNS**2, np.float32)
-    counts[:70] = np.arange(70)
-    lower = np.full(toxicity.SIGNS, 1 / toxicity.SIGNS, np.float32)
-    p = toxicity._level(counts, lower).reshape(toxicity.SIGNS, -1)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
-
 def test_toxicity_recall_by_language_on_given_tables(spark):
     folder = "/root/testdata/sf0.1"
     scored = toxicity.op1_kneser_ney_toxicity(spark, folder).where("held_out").select("doc_id", "predicted")
@@ -69,25 +62,81 @@ def test_toxicity_recall_by_language_on_given_tables(spark):
         assert sum(caught[lang, 1]) >= 0.85 * len(caught[lang, 1]) and sum(caught[lang, 0]) <= 0.02 * len(caught[lang, 0])
 
 
-def test_toxicity_counts_real_letters(spark):
-    words = ["réeux", "rèeux", "𐐀𐐁", "𐐂𐐁", "a1", "a2"]
-    counted = toxicity.gram_rows(spark.createDataFrame([(w,) for w in words], "word string")).select("gram").distinct().count()
-    assert counted == len({g for w in words for g in toxicity.grams(w)}) == 22
-
-
-def test_toxicity_levels_equal_the_dense_form(spark):
-    rng = random.Random(4)
-    pairs = {(a, b): rng.randint(1, 9) for a in "abcde" for b in "abcdef" if rng.random() < 0.6}
-    counts = spark.createDataFrame([(a + b, n, n, n) for (a, b), n in pairs.items()], "gram string, n0 long, n1 long, n2 long")
-    wanted = spark.createDataFrame([(a + b,) for a in "abcde" for b in "abcdef"], "gram string")
-    found = {r["gram"]: r["p2"] for r in toxicity.pooled(counts, wanted, (1, 2)).collect()}
-    dense, below = np.zeros((toxicity.SIGNS, toxicity.SIGNS), np.float32), np.zeros(toxicity.SIGNS, np.float32)
-    for (a, b), n in pairs.items():
-        dense[ord(a) - 97, ord(b) - 97] = n
-        below[ord(b) - 97] += 1
-    flat = np.full(toxicity.SIGNS, 1 / (np.count_nonzero(below) + 1), np.float32)
-    expected = toxicity._level(dense.reshape(-1), toxicity._level(below, flat)).reshape(toxicity.SIGNS, -1)
-    assert all(abs(p - expected[ord(g[0]) - 97, ord(g[1]) - 97]) < 1e-5 for g, p in found.items()) and len(found) == 30
+def word_table(spark, seed=4):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcé𐐀") for _ in range(rng.randint(1, 12))) for _ in range(150)] + ["aaaaaaaaaaaa", "aaaaaaaaaaab", "ab"]
+    table = {w: tuple(rng.choice([0, 0, 1, 2, 7]) for _ in range(4)) for w in words}
+    return table, spark.createDataFrame([(w, sum(c) + rng.randint(1, 3), *c) for w, c in table.items()], "word string, uses long, o0 long, o1 long, t0 long, t1 long")
+
+
+def plain_ratios(table):
+    """Log-ratios of words by the formulas themselves, over dictionaries."""
+    of = lambda c: {"o0": c[0], "o1": c[1], "o2": c[0] + c[1], "t0": c[2], "t1": c[3], "t2": c[2] + c[3], "n2": sum(c)}
+    seen = {w + "\n": of(c) for w, c in table.items() if sum(c)}
+    models = list(of((0, 0, 0, 0)))
+    ratio, edges, unseen = {"": (0.0, 0.0, 0.0)}, [0, *toxicity.CUTS, 10**6], {}
+    sums = []
+    for lo, hi in zip(edges, edges[1:]):
+        level = {}
+        for x, c in seen.items():
+            if len(x) > lo:
+                for m in models:
+                    level.setdefault(x[:hi], dict.fromkeys(models, 0))[m] += c[m]
+        discount = {}
+        for m in models:
+            once, twice = (sum(c[m] == k for c in level.values()) for k in (1, 2))
+            discount[m] = once / (once + 2 * twice) if once else 0.5
+        after, steps = {}, {}
+        for x, c in level.items():
+            after.setdefault(x[:lo], []).append(c)
+            steps[x[lo:]] = steps.get(x[lo:], 0) + 1
+        total = lambda h, m: sum(c[m] for c in after[h])
+        kinds = lambda h, m: sum(c[m] > 0 for c in after[h])
+        for h in after:
+            unseen[h] = [ratio[h][k] + math.log((20 + discount[f"t{k}"] * kinds(h, f"t{k}")) / (20 + total(h, f"t{k}"))) - math.log((20 + discount[f"o{k}"] * kinds(h, f"o{k}")) / (20 + total(h, f"o{k}"))) for k in range(3)]
+        mass = {}
+        for x, c in level.items():
+            h = x[:lo]
+            pooled = (max(c["n2"] - discount["n2"], 0) + discount["n2"] * kinds(h, "n2") * steps[x[lo:]] / len(level)) / total(h, "n2")
+            p = {m: (max(c[m] - discount[m], 0) + (20 + discount[m] * kinds(h, m)) * pooled) / (total(h, m) + 20) for m in models if m != "n2"}
+            mass[h] = mass.get(h, 0) + p["t2"]
+            ratio[x] = tuple(ratio[h][k] + math.log(p[f"t{k}"] / p[f"o{k}"]) for k in range(3))
+        sums.append(max(mass.values()))
+    judged = {}
+    for w, c in table.items():
+        x = w + "\n"
+        judged[w] = ratio[x] if sum(c) else next((unseen[x[:k]] for k in toxicity.LADDER if x[:k] in unseen), (0.0,) * 3)
+    return judged, sums
+
+
+def test_toxicity_ratios_equal_the_plain_formulas(spark):
+    table, df = word_table(spark)
+    expected, sums = plain_ratios(table)
+    assert max(sums) <= 1 + 1e-9  # no context gives its steps more than all
+    bounded = {w: tuple(round(1e6 * min(r, toxicity.MOST_RATIO)) if r >= toxicity.LEAST else 0 for r in rs) for w, rs in expected.items()}
+    found = {r["word"]: (r["r0"], r["r1"], r["r2"]) for r in toxicity.word_ratios(df).collect()}
+    wanted = {w: rs for w, rs in bounded.items() if any(rs)}
+    assert len(wanted) > 30 and found.keys() == wanted.keys()
+    assert all(abs(a - b) <= 1 for w in found for a, b in zip(found[w], wanted[w]))
+
+
+def test_toxicity_evidence_equals_a_plain_scan(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON", 20)
+    ratios = {"zgrunk": (3_000_000, 2_000_000, 4_000_000), "oft": (600_000, 0, 700_000), "réeux": (0, 900_000, 800_000)}
+    df = spark.createDataFrame([(w, 900 if w == "oft" else 1, *r) for w, r in ratios.items()], "word string, uses long, r0 long, r1 long, r2 long")
+    words = toxicity.indexed(df, 10_000)
+    assert set(words.common) == {"oft"}
+    texts = ["zgrunk oft " * 6 + "Réeux, other", "", "none of it", "oft"]
+    shape = "row long, doc_id long, held_out boolean, text_hash long, toxic int, half int, chosen boolean, text string"
+    rows = [(i, None if i == 3 else i, False, i, i % 2, i % 2, i < 2, t) for i, t in enumerate(texts)]
+    found = {r["text_hash"]: r for r in toxicity.evidence(spark.createDataFrame(rows, shape).repartition(2), words).collect()}
+    assert len(found) == 4 and found[3]["doc_id"] is None and found[3]["label"] == -1
+    for i, text in enumerate(texts):
+        bag = toxicity.tokens(text)
+        for name, k in (("", 2), ("half_", 1 - i % 2 if i < 2 else 2)):
+            says = [ratios[w][k] for w in bag if w in ratios]
+            assert found[i][f"{name}total"] == sum(says) and found[i]["tokens"] == len(bag)
+            assert [v for v in found[i][f"{name}top"] if v] == [v for v in sorted(says, reverse=True)[:8] if v]
 
 
 def test_token_blocks_round_trip():

@@ -1,8 +1,8 @@
 """What the operators share: the folder that driver and executors both see, and tables written there.
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it again, so a
-lost executor costs a re-read, never a lost block.  Only where the session names no such folder
-(tests, notebooks) a temporary one is made.
+lost executor costs a re-read, never a lost block.  Only where a local session names no such folder
+(tests, notebooks) a temporary one is made; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder all executors share."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
@@ -61,7 +63,7 @@ def partitions(spark: SparkSession) -> int:
 
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffle join follows)."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def given_back(rows: Iterator[pa.RecordBatch], *caches) -> Iterator[pa.RecordBatch]:

@@ -1,98 +1,73 @@
-"""Toxicity by class-conditional Kneser-Ney models over the letters of words, of order 7, in distributed tables.
-
-A text is its words: runs of letters and digits, or of other signs, in lower case, nothing folded.  A word's
-probability is that of its letters and its end, each given the ``ORDER - 1`` letters before it in the word.
-
-* All counts are rows of tables keyed by the n-gram itself, so what is gathered grows with the corpus; no
-  task and no driver holds a table.
-* The pooled model of both classes interpolates absolute discounts over ``ORDERS``; orders below the top
-  use continuation counts.  Each class's model discounts its own counts of order ``ORDER`` and falls back on
-  the pooled probability, with ``PRIOR`` more counts' weight: what a class has rarely seen says nothing.
-* A word's evidence is its log-ratio under the two models, worked out once a distinct word.  A text's is the
-  mean over its words, the means of its 1, 2, 4 and 8 most toxic words, and its length.
-* A logistic curve over these turns evidence into a score.  It is fitted on at most ``CALIBRATION_ROWS``
+"""Toxicity by class-conditional Kneser-Ney models over the beginnings of words, in distributed tables.
+
+A text is its words: runs of letters and digits, or of other signs, in lower case, nothing folded.  A word
+is spelt in steps: its first ``CUTS[0]`` letters, then letter by letter, then all that is left and its end.
+Each step is predicted from all letters before it; the probability of a word is the product of its steps.
+
+* All counts are rows of tables keyed by the real beginning of a word (and by the word), so what is gathered
+  grows with the labelled corpus; no task and no driver holds a table.
+* The pooled model of both classes discounts its counts and falls back on Kneser-Ney's continuation counts:
+  after how many beginnings a step is seen.  Each class discounts its own counts and falls back on the pooled
+  probability with ``PRIOR`` more counts' weight, so what a class has rarely seen says nothing.
+* A word's evidence is its log-ratio under the two models.  A word that no labelled row has is judged by its
+  longest beginning of ``LADDER`` letters that one has.  Ratios below ``LEAST`` are noise and count as 0; none
+  counts more than ``MOST_RATIO``.
+* A text's evidence is the mean ratio over its words, the means of its 1, 2, 4 and 8 most toxic words, and its
+  length.  A logistic curve over these turns evidence into a score.  It is fitted on at most ``CALIBRATION_ROWS``
   labelled rows, each scored by models of the other half of the labelled rows.
 
-Words that make up ``1 / COMMON`` of the corpus or more (so at most ``COMMON`` of them) are looked up in the
-tasks, all others by a join.  Log-ratios are summed as whole millionths, so that no order of rows shows.
+Words that say something and make up ``1 / COMMON`` of the corpus or more (so at most ``COMMON`` of them) are
+looked up in the tasks.  All others pass a filter of ``FILTER_BITS`` bits, which lets every word that says
+something through and few that don't, and are joined.  Ratios are summed as whole millionths, so that no
+order of rows shows.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import documents, forget, small_enough, stored, text_or_empty
 
-ORDER = 7
-ORDERS = (1, 3, 5, 7)
+CUTS = (2, 3, 4, 5, 6, 7, 8)
+#: Beginnings that judge words of no labelled row, the longer ones first.
+LADDER = (6, 4)
 PRIOR = 20.0
+LEAST, MOST_RATIO = 0.5, 5.0
 TOPS = (1, 2, 4, 8)
 MOST = max(TOPS)
 COMMON = 50_000
+FILTER_BITS = 1 << 26
 UNIT = 1e6
 CALIBRATION_ROWS = 20_000
 #: Labels, or texts to reject, up to so many rows (some 100 MB when broadcast) are joined by broadcast, more by a shuffle.
 BROADCAST_LABELS = 2_000_000
+#: Steps (letters, or what is left of a word) that are joined by broadcast, some 100 MB; letters are never more.
+BROADCAST_STEPS = 2_000_000
 THRESHOLD = 0.7
-#: The dense form of one level, which tests hold the joined one against, has so many symbols.
-SIGNS = 64
-#: The counts of the labelled rows: of half 0, of half 1, of all.
+#: The labelled rows that a model learns from: half 0, half 1, all.
 SETS = (0, 1, 2)
-#: Words that a task holds before it passes counts on, and rows of a batch of n-grams.
-HELD, BATCH = 200_000, 100_000
+#: Words that a task holds before it passes counts on, or remembers the filter's answer for; rows of a batch.
+HELD, BATCH = 200_000, 50_000
+#: Stands for the end of a word; no word holds white space.
+END = "\n"
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+COUNTS = ("o0", "o1", "t0", "t1")
+CLASSES = tuple(f"{c}{k}" for k in SETS for c in "ot")
 
 
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def grams(word: str) -> list[str]:
-    """The ``ORDER``-grams that end at each letter of a word, and at its end; no word holds white space."""
-    return begin_grams(" " + word + "\n")
-
-
-def begin_grams(begin: str) -> list[str]:
-    """Those of a blank and the first letters of a word."""
-    s = " " * (ORDER - 2) + begin
-    return [s[i : i + ORDER] for i in range(len(begin) - 1)]
-
-
-def units(word: str) -> list[str]:
-    """A word's begin, which stands for its first ``ORDER`` n-grams and is shared by many words, and its further n-grams."""
-    s = word + "\n"
-    return [" " + s[:ORDER], *(s[i : i + ORDER] for i in range(1, len(s) - ORDER + 1))]
-
-
-def _discount(counts: np.ndarray) -> np.float32:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return np.float32(once / (once + 2 * twice)) if once else np.float32(0.5)
-
-
-def _level(counts: np.ndarray, lower: np.ndarray, discount: np.float32 | None = None) -> np.ndarray:
-    """Interpolated probabilities of sequences of one order more than ``lower``, dense."""
-    discount = _discount(counts) if discount is None else discount
-    rows = counts.reshape(-1, SIGNS)
-    total = rows.sum(axis=1)
-    kinds = (rows > 0).sum(axis=1).astype(np.float32)
-    below = np.broadcast_to(lower.reshape(1, -1), (len(counts) // len(lower), len(lower))).reshape(-1, SIGNS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.maximum(rows - discount, 0) / total[:, None]
-        out += (discount * kinds / total)[:, None] * below
-    unseen = total == 0
-    out[unseen] = below[unseen]
-    return out.reshape(-1)
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that labels are never learnt from: crc32 of the id as text leaves 1 by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
@@ -102,203 +77,252 @@ def _half(id_col: str = "doc_id") -> Column:
     return (F.floor(F.crc32(F.col(id_col).cast("string")) / 3) % 2).cast("int")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """doc_id, toxic, half, text of the rows that may be learnt from; of contradicting labels, toxic wins."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    texts = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return texts.join(small_enough(known, BROADCAST_LABELS), "doc_id").select("doc_id", "toxic", _half().alias("half"), "text")
+def known_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """label_id, toxic, half, chosen (calibrates the curve) of the ids of ``docs`` that may be learnt from.
+
+    Of contradicting labels toxic wins.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("label_id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("toxic"))
+    known = stored(known.join(docs.select(F.col(id_col).cast("long").alias("label_id")), "label_id", "left_semi"), "toxicity-labels")
+    chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(CALIBRATION_ROWS).select("label_id", F.lit(True).alias("chosen"))
+    return known.join(F.broadcast(chosen), "label_id", "left").select("label_id", "toxic", _half("label_id").alias("half"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+def labelled(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, held_out, text_hash, toxic and half (-1: not learnt from), chosen, text of every row of ``docs``."""
+    text = text_or_empty(text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    none = F.lit(-1)
+    return rows.join(small_enough(known, BROADCAST_LABELS), F.col("doc_id") == F.col("label_id"), "left").select(
+        "row", "doc_id", "held_out", "text_hash", F.coalesce("toxic", none).alias("toxic"), F.coalesce("half", none).alias("half"), F.coalesce("chosen", F.lit(False)).alias("chosen"), "text"
+    )
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, and for each class and half how often: o0, o1, t0, t1) over all texts."""
+    """word, uses, and how often labelled rows have it, by class and half: o0, o1, t0, t1; over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {k: Counter() for k in range(4)}
+        held: dict[int, Counter] = {k: Counter() for k in range(5)}
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             for k, counter in held.items():
-                if counter:
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(counter), pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["k", "word", "n"])
+                words = list(counter)
+                for lo in range(0, len(words), BATCH):
+                    part = words[lo : lo + BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part, pa.string()), pa.array([counter[w] for w in part], pa.int64())], ["k", "word", "n"])
                 counter.clear()
 
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held[k].update(tokens(text.as_py()))
-                if sum(map(len, held.values())) > HELD:
+                counter = held[k]
+                before = len(counter)
+                counter.update(tokens(text.as_py()))
+                size += len(counter) - before
+                if size > HELD:
                     yield from rows()
+                    size = 0
         yield from rows()
 
-    found = texts.select((F.when(F.col("toxic") > 0, 2).otherwise(0) + F.col("half")).alias("k"), "text").mapInArrow(run, "k int, word string, n long")
-    return found.groupBy("word").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(("o0", "o1", "t0", "t1"))])
+    found = texts.select(F.when(F.col("toxic") < 0, 4).otherwise(2 * F.col("toxic") + F.col("half")).alias("k"), "text").mapInArrow(run, "k int, word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("uses"), *[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(COUNTS)])
 
 
-def part_rows(words: DataFrame, column: str, parts: Callable[[str], list[str]], name: str) -> DataFrame:
-    """The rows of ``words`` once for each part of ``column``."""
+def count_of(name: str, prefix: str = "") -> Column:
+    """A class's count of a set, or of both classes (``n``), from the four that tables hold."""
+    c, k = name[0], int(name[1])
+    kinds = "ot" if c == "n" else c
+    parts = [F.col(f"{prefix}{a}{h}") for a in kinds for h in ((0, 1) if k == 2 else (k,))]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, found = [], []
 
-            def rows(batch=batch) -> pa.RecordBatch:
-                part = batch.take(pa.array(at, pa.int32()))
-                return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, name])
+MODELS = (*CLASSES, "n2")
 
-            for i, word in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
-                for g in parts(word):
-                    at.append(i)
-                    found.append(g)
-                    if len(at) >= BATCH:
-                        yield rows()
-                        at, found = [], []
-            if at:
-                yield rows()
 
-    return words.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + f", {name} string")
+def beginnings(deeper: DataFrame, cut: int) -> DataFrame:
+    """x (the first ``cut`` letters), counts, and of how many kinds what follows is (``k_...``)."""
+    return deeper.groupBy(F.substring("x", 1, cut).alias("x")).agg(*[F.sum(c).alias(c) for c in COUNTS], *[F.count_if(count_of(m) > 0).alias(f"k_{m}") for m in MODELS])
 
 
-def gram_rows(words: DataFrame) -> DataFrame:
-    """The rows of ``words`` once for each ``gram`` of ``word``."""
-    return part_rows(words, "word", grams, "gram")
+def discounts(levels: dict[int, DataFrame]) -> dict[int, dict[str, float]]:
+    """The absolute discount of each level and model, from how many steps were seen once and twice."""
+    rows = None
+    for cut, level in levels.items():
+        steps = level.where(F.length("x") > before(cut)).agg(*[F.count_if(count_of(m) == n).alias(f"{m}_{n}") for m in MODELS for n in (1, 2)], F.count("*").alias("steps")).select(F.lit(cut).alias("cut"), "*")
+        rows = steps if rows is None else rows.unionByName(steps)
+    found = {}
+    for r in rows.collect():
+        found[r["cut"]] = {m: r[f"{m}_1"] / (r[f"{m}_1"] + 2 * r[f"{m}_2"]) if r[f"{m}_1"] else 0.5 for m in MODELS} | {"steps": float(r["steps"])}
+    return found
 
 
-def is_begin() -> Column:
-    return F.startswith(F.col("unit"), F.lit(" "))
+#: The level of whole words.
+WHOLE = 1 << 30
 
 
-def discounts(counts: DataFrame, names: list[str]) -> list[float]:
-    """The absolute discount of each count column, from how many n-grams were seen once and twice."""
-    row = counts.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in names for k in (1, 2)]).first()
-    return [row[f"{c}_1"] / (row[f"{c}_1"] + 2 * row[f"{c}_2"]) if row[f"{c}_1"] else 0.5 for c in names]
+def before(cut: int) -> int:
+    """How many letters the level before has."""
+    return CUTS[-1] if cut == WHOLE else 0 if cut == CUTS[0] else CUTS[CUTS.index(cut) - 1]
 
 
-def contexts(counts: DataFrame, order: int, names: list[str]) -> DataFrame:
-    """Total and number of kinds of what follows each context, for each count column."""
-    return counts.groupBy(F.substring("gram", 1, order - 1).alias("h")).agg(*[F.sum(c).alias(f"{c}_total") for c in names], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in names])
+def after(cut: int) -> int:
+    return WHOLE if cut == CUTS[-1] else CUTS[CUTS.index(cut) + 1]
 
 
-def interpolated(name: str, discount: float, lower: Column, prior: float = 0.0) -> Column:
-    """One level: the discounted count, and what the discount (and the prior) leave to ``lower``."""
-    count, total, kinds = (F.coalesce(F.col(c), F.lit(0)) for c in (name, f"{name}_total", f"{name}_kinds"))
-    whole = total + F.lit(prior)
-    return F.when(whole == 0, lower).otherwise((F.greatest(count - F.lit(discount), F.lit(0.0)) + (F.lit(prior) + F.lit(discount) * kinds) * lower) / whole)
+def pooled_step(d: dict[str, float]) -> Column:
+    """The pooled model's probability of a step: discounted count, and continuation for the rest."""
+    return (F.greatest(count_of("n2") - d["n2"], F.lit(0.0)) + F.lit(d["n2"]) * F.col("h_k_n2") * F.col("contexts") / d["steps"]) / count_of("n2", "h_")
 
 
-def pooled(counts: DataFrame, wanted: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """``wanted`` (gram of the highest of ``orders``) with p0, p1, p2 of the pooled model; ``counts``: gram, n0, n1, n2."""
-    *below, order = orders
-    names, ps = [f"n{k}" for k in SETS], [f"p{k}" for k in SETS]
-    found = discounts(counts, names)
-    if not below:
-        # One context only: its totals are three numbers.
-        row = counts.agg(*[F.sum(c).alias(c) for c in names], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in names]).first()
-        totals = [F.lit(row[c] or 0).alias(f"{c}_total") for c in names] + [F.lit(row[f"{c}_kinds"]).alias(f"{c}_kinds") for c in names]
-        level = wanted.join(counts, "gram", "left").select("gram", *names, *totals)
-        return level.select("gram", *[interpolated(c, d, F.lit(1 / (row[f"{c}_kinds"] + 1))).alias(p) for c, d, p in zip(names, found, ps, strict=True)])
-    short = F.substring("gram", order - below[-1] + 1, below[-1])
-    lower_counts = stored(counts.groupBy(short.alias("gram")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]), "toxicity-counts")
-    lower = pooled(lower_counts, wanted.select(short.alias("gram")).distinct(), tuple(below)).select(F.col("gram").alias("short"), *[F.col(p).alias(f"l{p}") for p in ps])
-    level = wanted.withColumn("short", short).withColumn("h", F.substring("gram", 1, order - 1)).join(lower, "short").join(counts, "gram", "left").join(contexts(counts, order, names), "h", "left")
-    out = stored(level.select("gram", *[interpolated(c, d, F.col(f"l{p}")).alias(p) for c, d, p in zip(names, found, ps, strict=True)]), "toxicity-level")
-    forget(lower_counts)
-    return out
+def class_step(m: str, d: dict[str, float]) -> Column:
+    return (F.greatest(count_of(m) - d[m], F.lit(0.0)) + (PRIOR + F.lit(d[m]) * F.col(f"h_k_{m}")) * F.col("pooled")) / (count_of(m, "h_") + PRIOR)
+
+
+def spelt(level: DataFrame, cut: int, shorter: DataFrame | None, d: dict[str, float]) -> DataFrame:
+    """``level`` with r0, r1, r2: the log-ratio of all steps up to it; ``shorter``: the level before, with its own."""
+    carried = ["h_x", *[f"h_{c}" for c in COUNTS], *[f"h_k_{m}" for m in MODELS], *[f"h_r{k}" for k in SETS]]
+    step = F.expr(f"substring(x, {before(cut) + 1})")
+    made = level.where(F.length("x") > before(cut))
+    units = made.groupBy(step.alias("step")).agg(F.count("*").alias("contexts"))
+    if shorter is None:
+        whole = level.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"h_{c}") for c in COUNTS], *[F.count_if(count_of(m) > 0).alias(f"h_k_{m}") for m in MODELS]).first()
+        joined = level.withColumns({c: F.lit(whole[c]) for c in carried[1:-3]} | {f"h_r{k}": F.lit(0.0) for k in SETS})
+    else:
+        context = shorter.select(*[F.col(c[2:]).alias(c) for c in carried])
+        joined = level.join(context, F.substring("x", 1, before(cut)) == F.col("h_x"))
+    joined = joined.withColumn("step", step).join(small_enough(units, BROADCAST_STEPS), "step", "left").withColumn("pooled", pooled_step(d))
+    # A word that ended before has no further step.
+    ratio = lambda k: F.when(F.length("x") > before(cut), F.log(class_step(f"t{k}", d) / class_step(f"o{k}", d))).otherwise(0.0)
+    return joined.select(*level.columns, *[(F.col(f"h_r{k}") + ratio(k)).alias(f"r{k}") for k in SETS])
+
 
+def gone_on(level: DataFrame, cut: int, d: dict[str, float]) -> DataFrame:
+    """x, e0, e1, e2: the log-ratio of a beginning and one more step that no labelled row has."""
+    rest = lambda m: (PRIOR + F.lit(d[m]) * F.col(f"k_{m}")) / (count_of(m) + PRIOR)
+    return level.select(F.col("x").alias(f"x{cut}"), *[(F.col(f"r{k}") + F.log(rest(f"t{k}") / rest(f"o{k}"))).alias(f"e{k}_{cut}") for k in SETS])
 
-def word_ratios(counted: DataFrame, words: DataFrame) -> DataFrame:
-    """``words`` that say something, with their log-ratios in millionths (r0, r1, r2) under the models of half 0, half 1, all."""
-    columns = ("o0", "o1", "t0", "t1")
-    counted_units = stored(part_rows(counted, "word", units, "unit").groupBy("unit").agg(*[F.sum(c).alias(c) for c in columns]), "toxicity-units")
-    of_begins = part_rows(counted_units.where(is_begin()), "unit", begin_grams, "gram").select("gram", *columns)
-    counts = of_begins.unionByName(counted_units.where(~is_begin()).withColumnRenamed("unit", "gram")).groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns])
-    counts = stored(counts.withColumns({"o2": F.col("o0") + F.col("o1"), "t2": F.col("t0") + F.col("t1")}).withColumns({f"n{k}": F.col(f"o{k}") + F.col(f"t{k}") for k in SETS}), "toxicity-counts")
-    classes = [f"{c}{k}" for k in SETS for c in "ot"]
-    # After a context that no labelled row has both models are the pooled one, and their ratio is 1.
-    after = stored(contexts(counts, ORDER, classes), "toxicity-contexts")
-    forget(counted_units)
-    letters = part_rows(words, "word", units, "unit")
-    used = stored(letters.select("unit").distinct(), "toxicity-used")
-    begins = part_rows(used.where(is_begin()), "unit", begin_grams, "gram")
-    wanted = begins.select("gram").unionByName(used.where(~is_begin()).select(F.col("unit").alias("gram"))).distinct()
-    wanted = stored(wanted.join(after.select("h"), F.substring("gram", 1, ORDER - 1) == F.col("h"), "left_semi"), "toxicity-wanted")
-    p = pooled(counts.select("gram", *[f"n{k}" for k in SETS]), wanted)
-    level = p.withColumn("h", F.substring("gram", 1, ORDER - 1)).join(counts.select("gram", *classes), "gram", "left").join(after, "h")
-    found = dict(zip(classes, discounts(counts, classes), strict=True))
-    model = lambda c, k: interpolated(f"{c}{k}", found[f"{c}{k}"], F.col(f"p{k}"), PRIOR)
+
+def word_ratios(counted: DataFrame) -> DataFrame:
+    """word, uses, r0, r1, r2 (millionths, under the models of half 0, half 1, all) of the words that say something."""
+    seen = F.col("o0") + F.col("o1") + F.col("t0") + F.col("t1") > 0
+    levels = {WHOLE: counted.where(seen).select(F.concat("word", F.lit(END)).alias("x"), *COUNTS)}
+    for cut in reversed(CUTS):
+        levels[cut] = stored(beginnings(levels[after(cut)], cut), "toxicity-level")
+    found = discounts(levels)
+    now, kept, spent = None, {}, [levels[c] for c in CUTS]
+    for cut in (*CUTS, WHOLE):
+        now = spelt(levels[cut], cut, now, found[cut])
+        if cut in LADDER:
+            now = kept[cut] = stored(now, "toxicity-spelt")
+            spent.append(now)
+    letters = F.concat("word", F.lit(END))
     rs = [f"r{k}" for k in SETS]
-    some = "r0 <> 0 or r1 <> 0 or r2 <> 0"
-    ratios = stored(level.select("gram", *[F.round(UNIT * F.log(model("t", k) / model("o", k))).cast("long").alias(f"r{k}") for k in SETS]).where(some), "toxicity-ratios")
-    for table in (counts, after, wanted, p):
-        forget(table)
-    sums = begins.join(ratios, "gram").groupBy("unit").agg(*[F.sum(r).alias(r) for r in rs]).unionByName(ratios.withColumnRenamed("gram", "unit").where(~is_begin())).where(some)
-    out = stored(letters.join(sums, "unit").groupBy("word").agg(*[F.sum(r).alias(r) for r in rs]).where(some), "toxicity-words")
-    for table in (used, ratios):
+    own = counted.where(seen).select("word", "uses", letters.alias("x")).join(now.select("x", *rs), "x").select("word", "uses", *rs)
+    others = counted.where(~seen).select("word", "uses", *[F.substring(letters, 1, cut).alias(f"x{cut}") for cut in LADDER])
+    for cut in LADDER:
+        others = others.join(gone_on(kept[cut], cut, found[after(cut)]), f"x{cut}", "left")
+    others = others.select("word", "uses", *[F.coalesce(*[F.col(f"e{k}_{cut}") for cut in LADDER], F.lit(0.0)).alias(f"r{k}") for k in SETS])
+    bounded = [F.when(F.col(r) >= LEAST, F.round(UNIT * F.least(F.col(r), F.lit(MOST_RATIO)))).otherwise(0).cast("long").alias(r) for r in rs]
+    out = stored(own.unionByName(others).where(F.greatest(*rs) >= LEAST).select("word", "uses", *bounded), "toxicity-words")
+    for table in spent:
         forget(table)
     return out
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
-    """word, uses: every word of the texts."""
-    texts = docs.select(F.lit(0).alias("toxic"), F.lit(0).alias("half"), text_or_empty(text_col).alias("text"))
-    return stored(word_counts(texts).select("word", F.col("o0").alias("uses")), "toxicity-vocabulary")
-
-
 @dataclass(frozen=True)
-class Model:
-    """The words that say something, those of them that tasks look up, and the curve from evidence to score."""
+class Words:
+    """The words that say something, those of them that tasks look up, and the filter that all of the others pass."""
 
-    words: DataFrame
+    ratios: DataFrame
     common: dict[str, tuple[int, int, int]]
-    plain: frozenset[str]
-    curve: list[float] | None = None
+    passing: np.ndarray
 
 
-def evidence(texts: DataFrame, model: Model) -> DataFrame:
-    """text_hash, tokens, total (millionths), top (millionths, the most toxic first); ``texts``: text_hash, which (of the models), text; one row a hash."""
-    common, plain = texts.sparkSession.sparkContext.broadcast(model.common), model.plain
-    skipped = texts.sparkSession.sparkContext.broadcast(plain)
+def indexed(ratios: DataFrame, uses: int) -> Words:
+    often = F.col("uses") > F.lit(uses / COMMON)
+    common = {r["word"]: (r["r0"], r["r1"], r["r2"]) for r in ratios.where(often).collect()}
+    bit = F.xxhash64("word").bitwiseAND(F.lit(FILTER_BITS - 1))
+    # At most FILTER_BITS / 64 rows, however many words there are.
+    rows = ratios.where(~often).groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64(word) & 63 as int))")).alias("bits")).toArrow()
+    passing = np.zeros(FILTER_BITS // 64, np.int64)
+    passing[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return Words(ratios.where(~often), common, passing.view(np.uint64))
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
-        for batch in batches:
-            rows = []
-            for text_hash, which, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = tokens(text.as_py())
-                values = [known[w][which] for w in found if w in known]
-                rows.append((text_hash, len(found), sum(values), sorted(values, reverse=True)[:MOST]))
-            hashes, n, total, top = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(top, pa.list_(pa.int64()))], ["text_hash", "tokens", "total", "top"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, none = common.value, skipped.value
+ROW = "row long, word string, n int, doc_id long, held_out boolean, text_hash long, label int, half int, tokens long, total long, top array<long>, half_total long, half_top array<long>"
+
+
+def evidence(texts: DataFrame, words: Words) -> DataFrame:
+    """doc_id, held_out, text_hash, label (-1: no part in calibration), tokens, total, top, half_total, half_top.
+
+    One row a row of ``texts``; totals and the most toxic words' ratios are in millionths, under the model of
+    all and, for calibration, under that of the other half.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((words.common, words.passing))
+    names = [f.split(" ")[0] for f in ROW.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, passing = shared.value
+        #: What a word says: its ratios; True if the join decides; False if nothing.
+        answers: dict[str, tuple[int, int, int] | bool] = dict(common)
+        out: list[tuple] = []
+
+        def answer(word: str) -> bool:
+            b = xxhash.xxh64_intdigest(word.encode(), 42) & (FILTER_BITS - 1)
+            found = bool(int(passing[b >> 6]) >> (b & 63) & 1)
+            answers[word] = found
+            return found
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
         for batch in batches:
-            hashes, kinds, words, n = [], [], [], []
-            for text_hash, which, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for w, k in Counter(tokens(text.as_py())).items():
-                    if w not in known and w not in none:
-                        hashes.append(text_hash)
-                        kinds.append(which)
-                        words.append(w)
-                        n.append(k)
-                if len(hashes) >= BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["text_hash", "which", "word", "n"])
-                    hashes, kinds, words, n = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["text_hash", "which", "word", "n"])
-
-    first = texts.mapInArrow(looked_up, "text_hash long, tokens long, total long, top array<long>").groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("tokens", "total", "top")])
-    # Equal texts count once.
-    bags = texts.mapInArrow(others, "text_hash long, which int, word string, n long").groupBy("text_hash", "which", "word").agg(F.first("n").alias("n"))
-    said = bags.join(model.words, "word").select("text_hash", "n", F.when(F.col("which") == 0, F.col("r0")).when(F.col("which") == 1, F.col("r1")).otherwise(F.col("r2")).alias("r"))
-    repeated = F.flatten(F.collect_list(F.array_repeat("r", F.least("n", F.lit(MOST)).cast("int"))))
-    rest = said.groupBy("text_hash").agg(F.sum(F.col("n") * F.col("r")).alias("rest"), F.slice(F.sort_array(repeated, asc=False), 1, MOST).alias("rest_top"))
-    both = first.join(rest, "text_hash", "left")
-    top = F.when(F.col("rest_top").isNull(), F.col("top")).otherwise(F.slice(F.sort_array(F.concat("top", "rest_top"), asc=False), 1, MOST))
-    return both.select("text_hash", "tokens", (F.col("total") + F.coalesce("rest", F.lit(0))).alias("total"), top.alias("top"))
-
-
-def features() -> list[Column]:
+            for row, doc_id, held, text_hash, toxic, half, chosen, text in zip(*[batch.column(i).to_pylist() for i in range(7)], batch.column(7), strict=True):
+                found = tokens(text.as_py())
+                hits, rare = [], Counter()
+                for word, says in zip(found, map(answers.get, found), strict=True):
+                    if says is None:
+                        says = answer(word)
+                    if says is True:
+                        rare[word] += 1
+                    elif says is not False:
+                        hits.append(says)
+                other = 1 - half if chosen else 2
+                top = lambda k, hits=hits: sorted((h[k] for h in hits), reverse=True)[:MOST]
+                # A blank is never in a word, so this row finds no partner; its number keeps such rows apart.
+                out.append((row, f" {row}", None, doc_id, held, text_hash, toxic if chosen else -1, half, len(found), sum(h[2] for h in hits), top(2), sum(h[other] for h in hits), top(other)))
+                out += [(row, word, n, None, None, None, None, half if chosen else -1, None, None, None, None, None) for word, n in rare.items()]
+                if len(out) >= BATCH:
+                    yield batch_of(out)
+                    out = []
+            if len(answers) > len(common) + HELD:
+                answers = dict(common)
+        yield batch_of(out)
+
+    rows = texts.mapInArrow(run, ROW).join(words.ratios.select("word", "r0", "r1", "r2"), "word", "left")
+    at_half = F.when(F.col("half") == 0, F.col("r1")).when(F.col("half") == 1, F.col("r0")).otherwise(F.col("r2"))
+    times = F.least("n", F.lit(MOST))
+    own = lambda total, r: F.coalesce(F.col(total), F.col("n") * r, F.lit(0))
+    best = lambda top, r: F.slice(F.sort_array(F.flatten(F.collect_list(F.coalesce(F.col(top), F.when(r.isNotNull(), F.array_repeat(r, times))))), asc=False), 1, MOST)
+    return rows.groupBy("row").agg(
+        *[F.max(c).alias(c) for c in ("doc_id", "held_out", "text_hash", "label", "tokens")],
+        F.sum(own("total", F.col("r2"))).alias("total"),
+        best("top", F.col("r2")).alias("top"),
+        F.sum(own("half_total", at_half)).alias("half_total"),
+        best("half_top", at_half).alias("half_top"),
+    ).drop("row")
+
+
+def features(prefix: str = "") -> list[Column]:
     """Mean over all words, means of the most toxic ones, log of the number of words."""
     size = F.greatest("tokens", F.lit(1))
-    tops = [F.aggregate(F.slice("top", 1, k), F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(UNIT * k) for k in TOPS]
-    return [(F.col("total") / size / F.lit(UNIT)).alias("f0"), *[t.alias(f"f{i + 1}") for i, t in enumerate(tops)], F.log(size.cast("double")).alias(f"f{len(TOPS) + 1}")]
+    tops = [F.aggregate(F.slice(f"{prefix}top", 1, k), F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(UNIT * k) for k in TOPS]
+    return [(F.col(f"{prefix}total") / size / F.lit(UNIT)).alias("f0"), *[t.alias(f"f{i + 1}") for i, t in enumerate(tops)], F.log(size.cast("double")).alias(f"f{len(TOPS) + 1}")]
 
 
 def fit_curve(rows: list[tuple]) -> list[float]:
@@ -319,57 +343,48 @@ def fit_curve(rows: list[tuple]) -> list[float]:
     return [float(v) for v in w]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The model of all labelled rows that may be learnt from.
+def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """doc_id, held_out, text_hash, score, mean_ratio, window_ratio (mean of the most toxic words) of every row.
 
     A null id is never learnt from.  Labels that are null, or of no document, are ignored.  With labels
     of one class only, or none, the curve is flat.
     """
-    texts = labelled_texts(docs, labels, id_col, text_col, label_col)
-    counted = stored(word_counts(texts), "toxicity-labelled")
-    used = vocabulary(docs, text_col)
-    words = word_ratios(counted, used.select("word"))
-    least = (used.agg(F.sum("uses")).first()[0] or 0) / COMMON
-    often = used.where(F.col("uses") > F.lit(least)).join(words, "word", "left").select("word", "r0", "r1", "r2").collect()
-    common = {r["word"]: (r["r0"], r["r1"], r["r2"]) for r in often if r["r0"] is not None}
-    plain = frozenset(r["word"] for r in often if r["r0"] is None)
+    known = stored(known_labels(docs, labels, id_col, label_col), "toxicity-known")
+    texts = labelled(docs, known, id_col, text_col)
+    counted = stored(word_counts(texts), "toxicity-counts")
+    ratios = word_ratios(counted)
+    words = indexed(ratios, counted.agg(F.sum("uses")).first()[0] or 0)
     forget(counted)
-    forget(used)
-    model = Model(words, common, plain)
-    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
-    sample = texts.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("half", "text"))
-    seen = evidence(sample.select("text_hash", (1 - F.col("half")).alias("which"), "text"), model)
-    rows = sample.select("text_hash", "toxic").join(seen, "text_hash").select((F.col("toxic") > 0).cast("int").alias("toxic"), *features()).collect()
-    return Model(words, common, plain, fit_curve(sorted(tuple(r) for r in rows)))
-
-
-def scores(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """text_hash, score, mean_ratio, window_ratio (mean of the most toxic words) of each distinct text."""
-    text = text_or_empty(text_col)
-    seen = evidence(docs.select(F.xxhash64(text).alias("text_hash"), F.lit(2).alias("which"), text.alias("text")), model).select("text_hash", *features())
-    at = F.lit(model.curve[0])
-    for i, w in enumerate(model.curve[1:]):
+    seen = stored(evidence(texts, words), "toxicity-evidence")
+    forget(ratios)
+    curve = fit_curve(sorted(tuple(r) for r in seen.where("label >= 0").select("label", *features("half_")).collect()))
+    at = F.lit(curve[0])
+    for i, w in enumerate(curve[1:]):
         at = at + F.lit(w) * F.col(f"f{i}")
-    return seen.select("text_hash", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))).alias("score"), F.col("f0").alias("mean_ratio"), F.col(f"f{len(TOPS)}").alias("window_ratio"))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))
+    return seen.select("doc_id", "held_out", "text_hash", *features()).select("doc_id", "held_out", "text_hash", score.alias("score"), F.col("f0").alias("mean_ratio"), F.col(f"f{len(TOPS)}").alias("window_ratio"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, mean_ratio, window_ratio.
 
-    Null texts score as empty ones.  A null id is not held out.  No rows in, no rows out.
+    Null texts score as empty ones; equal texts score alike.  Long texts are read whole, text by text.  A null
+    id is not held out.  Further columns of ``docs`` and ``labels`` are not looked at.  No rows in, no rows out.
     """
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
-    found = rows.join(scores(docs, model, text_col), "text_hash")
+    found = scored(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "mean_ratio", "window_ratio")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, as they are."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    toxic = stored(scores(docs, model, text_col).where(F.col("score") >= THRESHOLD).select(F.col("text_hash").alias("toxic_hash")), "toxicity-toxic")
+    """The rows of ``docs`` that score below the threshold, as they are.
+
+    Null texts score as empty ones; rows of equal texts stay or go together, null ids among them.
+    """
+    found = scored(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    toxic = stored(found.where(F.col("score") >= THRESHOLD).select(F.col("text_hash").alias("toxic_hash")).distinct(), "toxicity-toxic")
     return docs.join(small_enough(toxic, BROADCAST_LABELS), F.xxhash64(text_or_empty(text_col)) == F.col("toxic_hash"), "left_anti")
 
 
 def op1_kneser_ney_toxicity(spark, sf_dir: str) -> DataFrame:
+    """``score_toxicity`` over all documents and labels."""
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

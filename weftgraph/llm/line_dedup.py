@@ -27,41 +27,40 @@ EDITS = 2
 SHORT = 20
 #: Keys shared by several lines are broadcast up to this number (some 100 MB), else joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Lines with more than ``1 / HOT`` of all places are at most so many.
+HOT = 2000
+#: A line that isn't blank has such a character.
+FILLED = r"[^\x20\x09-\x0D]"
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each even segment of a line; the last ones are longer by one."""
-    k = edits + 1
-    base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the indexed line, segment number, shift); those without a difference index the line itself."""
     out = []
-    for i in range(k):
-        extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - longer))
-        out.append((base * i + extra, base + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)))
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            out += [(less, i, shift) for shift in range(low, high + 1)]
     return out
 
 
-def key_of(line: Column, start: Column, size: Column, length: Column, number: int) -> Column:
-    return F.xxhash64(length, F.lit(number), F.substring(line, start + 1, size))
-
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """The rows of ``lines`` (line, length) once a key that the line is indexed by (``own``) or probes besides.
 
-def line_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """The keys that a line is indexed by, and the keys that it probes besides."""
-    own, probes = [], []
-    for less in range(edits + 1):
-        indexed = length - less
-        for i, (start, size) in enumerate(segments(indexed, edits)):
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                (own if not less and not shift else probes).append(key_of(line, start + shift, size, indexed, i))
-    return own, probes
+    One row a probe, so that one short expression makes all keys: one long one a line would never be compiled.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("part"), F.lit(shift).alias("shift")) for less, i, shift in probes(edits)]))
+    n, k = F.col("length") - F.col("p.less"), edits + 1
+    start = F.floor(F.col("p.part") * n / k).cast("int")
+    size = F.floor((F.col("p.part") + 1) * n / k).cast("int") - start
+    own = (F.col("p.less") == 0) & (F.col("p.shift") == 0)
+    return lines.select("*", each.alias("p")).select(*lines.columns, F.xxhash64(n, "p.part", F.substring("line", start + F.col("p.shift") + 1, size)).alias("key"), own.alias("own"))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, doc_hash, line_no, line for every line that isn't blank."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return texts.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return texts.where(F.col("line").rlike(FILLED))
 
 
 def place() -> Column:
@@ -76,13 +75,11 @@ def line_hashes(line: str = "line") -> list[Column]:
 
 def near_links(lines: DataFrame, edits: int = EDITS, short: int = SHORT) -> DataFrame:
     """(a1, a2, b1, b2): hashes of different lines (``line``) within ``edits`` edits, each pair once."""
-    long_lines = lines.withColumn("length", F.length("line")).where(F.col("length") >= short)
-    own, probes = line_keys(F.col("line"), F.col("length"), edits)
-    keyed = long_lines.select(F.xxhash64("line").alias("h1"), F.explode(F.array(*own, *probes)).alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key"), "line-keys")
+    long_lines = lines.select(*line_hashes(), "line", F.length("line").alias("length")).where(F.col("length") >= short)
+    shared = stored(keyed(long_lines.drop("h2"), edits).groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key"), "line-keys")
     shared = small_enough(shared, BROADCAST_KEYS)
-    rows = long_lines.select(*line_hashes(), "line", F.posexplode(F.array(*own, *probes)).alias("n", "key")).join(shared, "key", "left_semi")
-    rows = stored(rows.select("key", "h1", "h2", "line", (F.col("n") < len(own)).alias("own")).distinct(), "line-candidates")
+    rows = keyed(long_lines, edits).join(shared, "key", "left_semi").select("key", "h1", "h2", "line", "own")
+    rows = stored(rows.distinct(), "line-candidates")
     a = rows.where("own").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
@@ -104,58 +101,73 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     of_b = first.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("first_b"))
     later = both.join(of_a, ["a1", "a2"]).join(of_b, ["b1", "b2"]).where("first_b < first_a").select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct().withColumn("is_near", F.lit(True))
     # Lines that occur once and have no earlier near line need no second look.
-    judged = first.join(later, ["h1", "h2"], "left").where("n > 1 or is_near").select("h1", "h2", "first", F.coalesce("is_near", F.lit(False)).alias("is_near"))
+    judged = first.join(later, ["h1", "h2"], "left").where("n > 1 or is_near").select("h1", "h2", "n", "first", F.coalesce("is_near", F.lit(False)).alias("is_near"))
+    judged = stored(judged, "line-judged")
+    # Very common lines are few by arithmetic and meet their places by broadcast; no other line has many places.
+    hot = F.col("n") > F.lit((first.agg(F.sum("n")).first()[0] or 0) / HOT)
+    common = F.broadcast(judged.where(hot))
     at_first = place() == F.col("first")
-    return spots.join(judged, ["h1", "h2"]).where(F.col("is_near") | ~at_first).select("doc_id", "doc_hash", "line_no", at_first.alias("near"))
+    met = spots.join(common, ["h1", "h2"]).unionByName(spots.join(common.select("h1", "h2"), ["h1", "h2"], "left_anti").join(judged.where(~hot), ["h1", "h2"]))
+    return met.where(F.col("is_near") | ~at_first).select("doc_id", "doc_hash", "line_no", at_first.alias("near"))
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, short: int = SHORT) -> DataFrame:
-    """The rows of ``docs`` with ``kept_text``, ``n_lines``, ``n_exact``, ``n_near`` (lines that went).
-
-    A null text has the kept text null and no lines.  Of rows with the same id and the same text one
-    keeps what is kept, the others lose all lines that aren't blank.  Rows with a null id count as the
-    last documents.  Further columns of ``docs`` are kept; names of the four are taken.
-    """
+def judged_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, short: int = SHORT) -> DataFrame:
+    """The rows of ``docs`` with ``__kept_text``, ``__n_lines``, ``__n_exact``, ``__n_near``."""
     gone = (
         dropped_lines(docs, id_col=id_col, text_col=text_col, edits=edits, short=short)
         .groupBy("doc_id", "doc_hash")
-        .agg(F.collect_set("line_no").alias("gone_lines"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("gone_near"))
-        .select(F.coalesce("doc_id", F.lit(0).cast(docs.schema[id_col].dataType)).alias("gone_id"), F.col("doc_id").isNull().alias("gone_no_id"), F.col("doc_hash").alias("gone_hash"), "gone_lines", "gone_near")
+        .agg(F.collect_set("line_no").alias("__gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("__gone_near"))
+        .select(F.coalesce("doc_id", F.lit(0).cast(docs.schema[id_col].dataType)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("doc_hash").alias("__hash"), "__gone", "__gone_near")
     )
     # Window and join deal rows out by the same keys, so repeated rows are numbered without a shuffle of their own.
-    keys = docs.select("*", F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("__id"), F.col(id_col).isNull().alias("__no_id"), F.xxhash64(text_or_empty(text_col)).alias("__hash"))
-    hashed = keys.withColumn("__copy", copy_number(docs, ["__id", "__no_id", "__hash"], id_col, text_col))
-    joined = hashed.join(gone, (hashed["__id"] == gone["gone_id"]) & (hashed["__no_id"] == gone["gone_no_id"]) & (hashed["__hash"] == gone["gone_hash"]), "left")
+    key = ["__id", "__no_id", "__hash"]
+    hashed = docs.select("*", F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("__id"), F.col(id_col).isNull().alias("__no_id"), F.xxhash64(text_or_empty(text_col)).alias("__hash"))
+    joined = hashed.withColumn("__copy", copy_number(docs, key, id_col, text_col)).join(gone, key, "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    is_filled = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    is_filled = lambda x: x.rlike(FILLED)
     repeated = F.col("__copy") > 1
-    kept = F.filter(lines, lambda x, i: F.when(repeated, ~is_filled(x)).otherwise(~F.array_contains(F.coalesce("gone_lines", F.array().cast("array<int>")), i)))
+    # By a set difference, not by a search a line: documents may have very many lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = F.when(repeated, F.filter(lines, lambda x: ~is_filled(x))).otherwise(F.transform(stay, lambda i: F.get(lines, i)))
     n_lines = F.coalesce(F.size(F.filter(lines, is_filled)), F.lit(0)).cast("long")
-    n_gone = F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("long")
-    n_near = F.coalesce("gone_near", F.lit(0)).cast("long")
+    n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
+    n_near = F.coalesce("__gone_near", F.lit(0)).cast("long")
     return joined.select(
-        *[hashed[c] for c in docs.columns],
-        F.when(F.col("gone_lines").isNull() & ~repeated, F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        n_lines.alias("n_lines"),
-        F.when(repeated, n_lines).otherwise(n_gone - n_near).alias("n_exact"),
-        F.when(repeated, 0).otherwise(n_near).cast("long").alias("n_near"),
+        *docs.columns,
+        F.when(F.col("__gone").isNull() & ~repeated, F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("__kept_text"),
+        n_lines.alias("__n_lines"),
+        F.when(repeated, n_lines).otherwise(n_gone - n_near).alias("__n_exact"),
+        F.when(repeated, 0).otherwise(n_near).cast("long").alias("__n_near"),
     )
 
 
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with ``kept_text``, ``n_lines``, ``n_exact``, ``n_near`` (lines that went).
+
+    A null text has the kept text null and no lines.  Of rows with the same id and the same text one
+    keeps what is kept, the others lose all lines that aren't blank.  Rows with a null id count as the
+    last documents.  Long texts are split whole.  Further columns of ``docs`` are kept, but for any of the four
+    names, and names that begin with two underscores must not be used.  No rows in, no rows out.
+    """
+    new = ("kept_text", "n_lines", "n_exact", "n_near")
+    found = judged_rows(docs, **options)
+    return found.select(*[c for c in docs.columns if c not in new], *[F.col(f"__{c}").alias(c) for c in new])
+
+
 def with_kept_lines(docs: DataFrame, *, chars_col: str = "n_chars", **options) -> DataFrame:
     """The columns of ``docs`` with texts of kept lines only, and their length in ``chars_col`` if there is one.
 
-    Documents all of whose lines went are left out; blank and null texts stay.
+    Documents all of whose lines went are left out; blank and null texts stay.  All else as :func:`deduplicated`.
     """
     text_col = options.get("text_col", "text")
-    found = deduplicated(docs, **options)
-    left = found.where("n_lines = 0 or n_lines > n_exact + n_near")
-    length = F.when(F.col("kept_text").isNull(), F.col(chars_col)).otherwise(F.length("kept_text").cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else None
-    new = {text_col: F.col("kept_text"), chars_col: length}
+    left = judged_rows(docs, **options).where("__n_lines = 0 or __n_lines > __n_exact + __n_near")
+    length = F.when(F.col("__kept_text").isNull(), F.col(chars_col)).otherwise(F.length("__kept_text").cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else None
+    new = {text_col: F.col("__kept_text"), chars_col: length}
     return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """``deduplicated`` over all documents, the kept text as a digest."""
     found = deduplicated(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 

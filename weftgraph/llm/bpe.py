@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.pretokens import pieces
+from weftgraph.llm.pretokens import each_piece, pieces
 from weftgraph.llm.shared import documents, given_back, text_or_empty
 
 #: Pieces of at most so many bytes are remembered, so many of them a round; when full, those of the round
 #: before go, and what is seen again is taken over from the round that ended.
 SHORT = 64
 REMEMBERED = 150_000
+#: Longer texts, in characters, go through piece by piece.
+LONG = 1_000_000
 
 
 def byte_signs() -> dict[str, int]:
@@ -51,6 +53,9 @@ def byte_signs() -> dict[str, int]:
 class MergeList:
     """A byte-level vocabulary with ranked merges, read from a tokenizer file."""
 
+    #: First bytes of pieces whose states are remembered, and of how many pieces.
+    HEAD, MOST_HEADS = 6, 100_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
@@ -76,6 +81,10 @@ class MergeList:
         #: Whether pairs are stable, by left id * width + right id.
         self.known: dict[int, bool] = {}
         self._build_automaton()
+        #: Further transitions are remembered up to this number.
+        self.most_steps = 4 * len(self.step)
+        self.heads: dict[bytes, tuple[int, tuple[int | None, ...]]] = {}
+        self.sizes = [len(self.text.get(i, b"")) for i in range(self.width)]
 
     def _build_automaton(self) -> None:
         """States are beginnings of tokens; one holds the longest end of the bytes read that is a beginning.
@@ -170,6 +179,63 @@ class MergeList:
         return ok
 
 
+    def extended(self, data: bytes | memoryview, last: list[int | None], state: int) -> int:
+        """Read ``data``, adding each position's last token to ``last``; returns the automaton's state."""
+        step, fall, ending, known, width = self.step, self.fall, self.ending, self.known, self.width
+        end = len(last)
+        for byte in data:
+            at = state << 8 | byte
+            to = step.get(at)
+            if to is None:
+                to = self.next_state(state, byte)
+                if len(step) < self.most_steps:
+                    step[at] = to  # next time at once
+            state = to
+            found = None
+            # Longest token first: the first one that is stable after what stands before it.
+            for token, size in ending[state]:
+                if (start := end - size) > 0:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    if (ok := known.get(before * width + token)) is None:
+                        ok = self.stable(before, token)
+                    if ok:
+                        found = token
+                        break
+                elif not start:
+                    before = last[0]
+                    if before is None or self.stable(before, token):
+                        found = token
+                        break
+            last.append(found)
+            end += 1
+        return state
+
+    def encoded(self, data: bytes) -> bytes:
+        """Ids of a short piece: what a transducer does until it is fed so much that it emits, in one go.
+
+        What has been read after a piece's first bytes is remembered, as many pieces begin alike.
+        """
+        head = data[: self.HEAD]
+        start = self.heads.get(head)
+        if start is None:
+            if len(self.heads) >= self.MOST_HEADS:
+                self.heads.clear()
+            last: list[int | None] = [None]
+            start = self.heads[head] = (self.extended(head, last, 0), tuple(last))
+        last = list(start[1])
+        if len(data) > self.HEAD:
+            self.extended(data[self.HEAD :], last, start[0])
+        out, end, sizes = [], len(data), self.sizes
+        while end:
+            token = last[end]
+            out.append(token)
+            end -= sizes[token]
+        out.reverse()
+        return struct.pack(f"<{len(out)}I", *out)
+
+
 class Transducer:
     """Encodes one piece that comes in chunks of bytes; ``feed`` and ``finish`` return stable ids."""
 
@@ -182,31 +248,7 @@ class Transducer:
         self.state = 0
 
     def _extend(self) -> None:
-        step, fall, ending, known, stable = self.m.step, self.m.fall, self.m.ending, self.m.known, self.m.stable
-        last, state, end, width = self.last, self.state, len(self.last), self.m.width
-        for byte in memoryview(self.buffer)[end - 1 :]:
-            while (to := step.get(state << 8 | byte)) is None and state:
-                state = fall[state]
-            state = to or 0
-            found = None
-            # Longest token first: the first one that is stable after what stands before it.
-            for token, size in ending[state]:
-                start = end - size
-                if start < 0:
-                    continue
-                before = last[start]
-                if before is None:
-                    if start:
-                        continue
-                    ok = True
-                elif (ok := known.get(before * width + token)) is None:
-                    ok = stable(before, token)
-                if ok:
-                    found = token
-                    break
-            last.append(found)
-            end += 1
-        self.state = state
+        self.state = self.m.extended(memoryview(self.buffer)[len(self.last) - 1 :], self.last, self.state)
 
     def _path(self, end: int) -> list[int]:
         out, text = [], self.m.text
@@ -257,9 +299,9 @@ class BpeCodec:
         out = self.older.get(piece)
         if out is None:
             data = piece.encode()
-            out = self._transduced(data)
             if len(data) > SHORT:
-                return out
+                return self._transduced(data)
+            out = self.merges.encoded(data)
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
         self.known[piece] = out
@@ -279,7 +321,7 @@ class BpeCodec:
             if i % 2:
                 yield np.array([self.merges.special[part]], "<u4").tobytes()
                 continue
-            for piece in pieces(part):
+            for piece in each_piece(part):
                 found = self.known.get(piece)
                 yield self._piece(piece) if found is None else found
 
@@ -314,6 +356,26 @@ class BpeCodec:
         return "".join(out)
 
 
+    def digest(self, text: str, with_ids: bool = False) -> tuple[int, str, str, bytes | None]:
+        """Number of ids, SHA-256 of ids and of the decoded text, and the ids if asked for.
+
+        Long texts go through as streams: pieces, ids and decoded text are never whole in memory.
+        """
+        if len(text) <= LONG:
+            ids = self.encode(text)
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest(), ids if with_ids else None
+        n, of_ids, of_text, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        for ids in self.encode_stream(text):
+            n += len(ids) // 4
+            of_ids.update(ids)
+            of_text.update(machine.decode(b"".join(map(self.bytes_of.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))).encode())
+            if with_ids:
+                kept.append(ids)
+        of_text.update(machine.decode(b"", True).encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest(), b"".join(kept) if with_ids else None
+
+
 @lru_cache(1)
 def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
@@ -349,9 +411,7 @@ def digests(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", tex
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = coder.encode(text.as_py())
-                decoded = coder.decode(ids).encode()
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if with_ids else None))
+                rows.append((doc_id, *coder.digest(text.as_py(), with_ids)))
             columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             width = 4 + with_ids
@@ -362,6 +422,7 @@ def digests(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", tex
 
 
 def op5_bpe_stream(spark, sf_dir: str) -> DataFrame:
+    """``digests`` of all documents."""
     import public_tokenizers
 
     return digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -8,6 +8,7 @@ sign sends the text to ``regex`` with full Unicode classes.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import regex
@@ -43,6 +44,14 @@ def newer() -> dict[int, str]:
     return {c: SIGN for a, b in spans for c in range(int(a, 16), int(b, 16) + 1)}
 
 
+def each_piece(text: str) -> Iterator[str]:
+    """The pieces of ``text`` one by one."""
+    if not ODD.search(text):
+        return (m[0] for m in PLAIN.finditer(text))
+    seen = text.translate(newer())
+    return (text[m.start() : m.end()] for m in FULL.finditer(seen))
+
+
 def pieces(text: str) -> list[str]:
     """The pieces of ``text``, which together are the text."""
     if not ODD.search(text):

@@ -9,7 +9,6 @@ Running sums over the manifest give every file its first position; readers take
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.pretokens import LATIN, ODD, PLAIN
+from weftgraph.llm.pretokens import ODD, PLAIN
 from weftgraph.llm.shared import documents, fresh_path, partitions, stored, text_or_empty
 from weftgraph.llm.token_file import TokenFileReader, TokenFileWriter
 
@@ -28,7 +27,6 @@ from weftgraph.llm.token_file import TokenFileReader, TokenFileWriter
 REMEMBERED = 1_000_000
 #: Texts that are encoded at a step, in characters, and new words that the library gets as one text.
 STEP, TOGETHER = 500_000, 256
-WORD_PIECE = re.compile(rf" [{LATIN}]+")
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -60,7 +58,8 @@ class PieceEncoder:
         """
         words, rest = [], []
         for piece in found:
-            (words if WORD_PIECE.fullmatch(piece) else rest).append(piece)
+            # A piece that begins with a space and a letter is all letters.
+            (words if piece[0] == " " and piece[1:2].isalpha() else rest).append(piece)
         self.known.update(zip(rest, self._library(rest), strict=True))
         groups = [words[lo : lo + TOGETHER] for lo in range(0, len(words), TOGETHER)]
         for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -70,29 +69,23 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         out: list[bytes | None] = []
-        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        waiting: list[tuple[int, list[str]]] = []
         missing: set[str] = set()
-        get = self.known.get
         for text in texts:
             if ODD.search(text) or any(s in text for s in self.special):
                 out.append(self._library([text])[0])
                 continue
             found = PLAIN.findall(text)
-            ids = list(map(get, found))
-            if None in ids:
-                missing.update(p for p, i in zip(found, ids, strict=True) if i is None)
-                waiting.append((len(out), found, ids))
-                out.append(None)
-            else:
-                out.append(b"".join(ids))
-        if missing:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()  # what is waiting keeps the ids that it has found
-            self._learn(missing)
-            get = self.known.get
-            for at, found, ids in waiting:
-                out[at] = b"".join([get(p) if i is None else i for p, i in zip(found, ids, strict=True)])
+            missing |= set(found).difference(self.known)
+            waiting.append((len(out), found))
+            out.append(None)
+        self._learn(missing)
+        ids_of = self.known.__getitem__
+        for at, found in waiting:
+            out[at] = b"".join(map(ids_of, found))
         return out
 
 

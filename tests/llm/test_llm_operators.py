@@ -390,3 +390,21 @@ def test_lines_are_dropped_after_their_first_place(spark):
     rows = [(2, f"{long}!\nshort\n\nown two"), (1, f"{long}\nshort\n\nown one"), (3, "short"), (4, None)]
     found = {r["doc_id"]: (r["kept_text"], r["n_exact"], r["n_near"]) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: (f"{long}\nshort\n\nown one", 0, 0), 2: ("\nown two", 1, 1), 3: ("", 1, 0), 4: (None, 0, 0)}
+
+
+def test_long_texts_are_digested_as_streams(library, monkeypatch):
+    coder = bpe.BpeCodec(PATH)
+    rng = random.Random(8)
+    text = "".join(rng.choice(["un mot ", "x" * 90, "中文", "é😀\n", "<|endoftext|>", "'s ", "  12345 "]) for _ in range(3000))
+    whole = coder.digest(text, True)
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert whole == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), np.array(ids, "<u4").tobytes())
+    monkeypatch.setattr(bpe, "LONG", 10)
+    assert coder.digest(text, True) == whole
+
+
+def test_columns_of_clashing_names_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a line\nanother", 777, "mine", 9), (2, "a line\nthird", 778, "yours", 9)], "doc_id long, text string, text_hash long, kept_text string, n_lines int")
+    found = {r["doc_id"]: r for r in line_dedup.with_kept_lines(docs).collect()}
+    assert found[2]["text"] == "third" and (found[2]["text_hash"], found[2]["kept_text"], found[2]["n_lines"]) == (778, "yours", 9)
+    assert line_dedup.deduplicated(docs).columns == ["doc_id", "text", "text_hash", "kept_text", "n_lines", "n_exact", "n_near"]

@@ -41,7 +41,7 @@ CUTS = (2, 3, 4, 5, 6, 7, 8)
 #: Beginnings that judge words of no labelled row, the longer ones first.
 LADDER = (6, 4)
 PRIOR = 20.0
-LEAST, MOST_RATIO = 0.5, 5.0
+LEAST, MOST_RATIO = 1.0, 5.0
 TOPS = (1, 2, 4, 8)
 MOST = max(TOPS)
 COMMON = 50_000

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -75,6 +76,12 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def at_most_255(digits: str) -> bool:
+    """Digit runs may be of any length, leading zeros included."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     free, at = 0, text.find("@")
     while at >= 0:
@@ -93,7 +100,7 @@ def matches(text: str) -> dict[str, list[tuple[int, int, bool]]]:
     if "@" in text:
         found["email"] = [(a, b, True) for a, b in _emails(text)]
     if "." in text:
-        found["ip"] = [(m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))) for m in _IP.finditer(text)]
+        found["ip"] = [(m.start(), m.end(), all(at_most_255(p) for p in m[0].split("."))) for m in _IP.finditer(text)]
     for m in _CARD.finditer(text):
         digits = digits_of(m[0])
         found["card"].append((m.start(), m.end(), 16 <= len(digits) <= 19 and luhn(digits)))
@@ -102,6 +109,18 @@ def matches(text: str) -> dict[str, list[tuple[int, int, bool]]]:
     return found
 
 
+def apart(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans with overlapping ones joined, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, is base): base spans, matches that fail their check, loose matches beside base spans."""
     out: list[tuple[str, int, int, bool]] = []
@@ -110,12 +129,13 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
             # Short digit strings are numbers, not failed cards.
             if good or kind != "card" or b - a >= 13:
                 out.append((kind, a, b, good))
-    base = sorted((a, b) for _, a, b, good in out if good)
+    starts, ends = apart([(a, b) for _, a, b, good in out if good])
     for kind, pattern in _LOOSE.items():
         if kind == "email" and "(" not in text and "[" not in text:
             continue
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in base):
+            at = bisect_right(ends, m.start())
+            if at == len(ends) or starts[at] >= m.end():
                 out.append((kind, m.start(), m.end(), False))
     return out
 
@@ -241,7 +261,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_spans, spans; one row per row of ``docs``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, joined by commas.  A null text is
-    empty and has none.  Null and repeated ids are kept.  No rows in, no rows out.
+    empty and has none.  Texts are read whole, in time linear in their length.  Null and repeated ids are
+    kept, further columns are not looked at.  No rows in, no rows out.
     """
     model = model or estimate(count_votes(docs, text_col=text_col))
 
@@ -261,5 +282,6 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def op8_personal_data(spark, sf_dir: str) -> DataFrame:
+    """``find_personal_data`` over all documents, the base spans as a digest."""
     found = find_personal_data(documents(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")

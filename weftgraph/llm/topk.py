@@ -127,7 +127,7 @@ def exact_top_k(
 
     Components count as ``floor(scale * x)``.  Vectors that are null or hold a null or non-finite
     component, and rows with a null id, take no part.  Shorter vectors count as filled up with zeros.
-    Rows that share a query's id are its own and no candidates.  With fewer than ``k`` others all are
+    Rows that share a query's id are its own and no candidates; each of them is a query, with ranks of its own.  With fewer than ``k`` others all are
     returned.  No rows in, no rows out.
     """
     spark = vectors.sparkSession
@@ -237,7 +237,8 @@ def exact_top_k(
         def out():
             kept = best.ids != np.iinfo(np.int64).max
             row, col = np.nonzero(kept)
-            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best.ids[row, col]), pa.array(best.score[row, col])], ["query_id", "vec_id", "score"])
+            places = [f"{now[0]}:{now[1]}:{i}" for i in row.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(places, pa.string()), pa.array(ids[row]), pa.array(best.ids[row, col]), pa.array(best.score[row, col])], ["place", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -259,24 +260,26 @@ def exact_top_k(
         if now is not None:
             yield out()
 
-    searched = pairs.repartition(n, "q_path", "q_start", "slice").sortWithinPartitions("q_path", "q_start", "slice", "bound", "path", "start").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    searched = pairs.repartition(n, "q_path", "q_start", "slice").sortWithinPartitions("q_path", "q_start", "slice", "bound", "path", "start").mapInArrow(search, "place string, query_id long, vec_id long, score long")
+    # By the query's place in the index: rows of equal ids are queries of their own.
+    order = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
     return searched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_pivot_top_k(spark, sf_dir: str) -> DataFrame:
+    """``exact_top_k`` over all embeddings."""
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 ORACLE = """
 WITH kept AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM kept q JOIN kept c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

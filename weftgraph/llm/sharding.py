@@ -4,8 +4,8 @@ Documents with equal texts form a group.  A group goes to the shard where the do
 size vector with the shard's residual capacity is highest; larger groups are placed first.
 
 * Heavy groups, with ``HEAVY`` or more of any total, are at most ``3 / HEAVY`` by arithmetic; the
-  driver places them.  A group larger than ``SPLIT`` of a shard's capacity is dealt into pieces by
-  row, as no placement of the whole could balance.
+  driver places them.  A group larger than a shard is dealt by row into pieces of ``SPLIT`` of
+  one, as no placement of the whole could balance; no other group is split.
 * The others are packed where the shuffle puts them: each partition fills the eight shards in
   proportion to the capacity that the heavy groups left, so no task sees all groups, and as each
   partition ends with its smallest groups, the sums stay close.
@@ -61,7 +61,8 @@ def vector_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", t
     """One row per row of ``docs``: id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
     ``size`` is the text's UTF-8 bytes plus 1.  A null text weighs 1 and is grouped with empty texts.
-    Equal texts share a shard unless the group outgrows half a shard.  Rows with equal ids are apart
+    Equal texts share a shard unless the group outgrows a shard.  Long texts count by their
+    size only; further columns are not looked at.  Rows with equal ids are apart
     rows; null ids are allowed.  No rows in, no rows out.  Reruns on the same session settings agree.
     """
     spark = docs.sparkSession
@@ -76,6 +77,8 @@ def vector_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", t
         ),
         "shard-rows",
     )
+    # Rows are dealt into pieces by their place in the table, as ids may be null or repeat.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     groups = stored(
         rows.groupBy("group_key").agg(F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_rows")),
         "shard-groups",
@@ -86,11 +89,11 @@ def vector_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", t
 
     # Heavy groups: at most 3 / HEAVY rows, as the shares of each dimension add up to 1.
     heavy = sorted(groups.where(share >= HEAVY).collect(), key=lambda g: bytes(g["group_key"]))
-    pieces_of = {bytes(g["group_key"]): int(np.ceil(max(g[d] / t for d, t in zip(DIMENSIONS, totals, strict=True)) * shards / SPLIT)) for g in heavy}
-    pieces_of = {k: n if n > 1 else 1 for k, n in pieces_of.items()}
+    filled = {bytes(g["group_key"]): max(g[d] / t for d, t in zip(DIMENSIONS, totals, strict=True)) * shards for g in heavy}
+    pieces_of = {k: int(np.ceil(x / SPLIT)) if x > 1 else 1 for k, x in filled.items()}
     marked_schema = "group_key binary, n_pieces int"
     marks = F.broadcast(spark.createDataFrame([(bytearray(k), n) for k, n in pieces_of.items()], marked_schema))
-    heavy_rows = rows.join(marks, "group_key").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("n_pieces")).cast("int"))
+    heavy_rows = rows.join(marks, "group_key").withColumn("piece", F.pmod("row", "n_pieces").cast("int"))
     # At most shards / SPLIT pieces for each third of the total, and one for each other heavy group.
     pieces = heavy_rows.groupBy("group_key", "piece").agg(F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_rows")).collect() if heavy else []
     capacity = np.full((shards, len(DIMENSIONS)), 1.0 / shards)
@@ -135,6 +138,7 @@ def vector_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", t
 
 
 def op4_vector_shards(spark, sf_dir: str) -> DataFrame:
+    """``vector_shards`` over all documents, under the law ``bytes``."""
     return vector_shards(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -10,7 +10,6 @@ STRICT_SPLIT = r"(?U)(?<=[.?!])\s+(?=[A-ZĐ])"
 PLAIN_SPLIT = r"(?U)(?<=[.!?])\s+"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 LINK = r"\[\[(.*?)(?:\|(.*?))?\]\]"
-INFERRED = "[SUY LUẬN] Từ việc {} là {} của {}."
 
 
 def strip(text: Column) -> Column:

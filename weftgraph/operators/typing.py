@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.functions.rule_tables import GENERIC, WEIGHTS
+from weftgraph.functions.rule_tables import COLLAPSED, GENERIC, WEIGHTS
 from weftgraph.functions.rules import heaviest, looked_up, weight_of
 from weftgraph.schema import EDGE_KEY
 
@@ -44,11 +44,14 @@ def first_writer(edges: DataFrame, *order: str) -> DataFrame:
     return edges.withColumn("written", F.row_number().over(w)).where("written = 1").drop("written")
 
 
-def inverse_closure(forward: DataFrame, inverse: Mapping[str, str]) -> DataFrame:
+def inverse_closure(forward: DataFrame, inverse: Mapping[str, str], collapsed: Mapping[str, str] = COLLAPSED) -> DataFrame:
     """Forward edges and, once round, the inverse of each; on equal triples forward edges come first.
 
+    An inverse type that ``collapsed`` names is written as what it names.
+
     Among inverses of one triple the one whose forward edge is first by (source, target, rank) stays.
     """
+    inverse = {k: collapsed.get(v, v) for k, v in inverse.items()}
     turned = forward.withColumn("back", looked_up(F.col("type"), inverse)).where(F.col("back").isNotNull())
     said = F.concat(F.lit("[SUY LUẬN] Từ việc "), F.col("source"), F.lit(" là "), F.col("type"), F.lit(" của "), F.col("target"), F.lit("."))
     shape = ["source", "target", "type", "evidence", "generation", "o1", "o2", "o3"]

@@ -45,10 +45,10 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trade_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The triples of :func:`trade` that half as many lines again as the average triple hold: strong links."""
+    """The triples of :func:`trade` with a tenth more lines than the average triple: strong links."""
     counted = trade(spark, d).groupBy("source", "target", "type").agg(F.count("*").alias("n"))
     whole = counted.agg(F.count("*").alias("triples"), F.sum("n").alias("lines"))
-    return counted.join(F.broadcast(whole)).where(F.col("n") * F.col("triples") * 2 > F.col("lines") * 3).select("source", "target", "type")
+    return counted.join(F.broadcast(whole)).where(F.col("n") * F.col("triples") * 10 > F.col("lines") * 11).select("source", "target", "type")
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,7 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
 SQL_ARTICLES = "articles AS (SELECT 'doc_' || doc_id AS title, text FROM documents)"
 SQL_ANCHORS = "anchor_lists AS (SELECT page_id, regexp_extract_all(html, '<a href=\"/[^\"]*\">([^<]*)</a>', 1) AS l FROM pages), anchors AS (SELECT page_id, i - 1 AS pos, l[i] AS anchor FROM anchor_lists, range(1, len(l) + 1) r(i))"
 SQL_TITLES = SQL_ANCHORS + ", titles AS (SELECT DISTINCT lower(anchor) AS lowered, lower(anchor) AS title FROM anchors WHERE length(anchor) >= 4)"
-SQL_TRADE = "trade AS (SELECT a.n_name AS source, b.n_name AS target, l_returnflag AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey), counted AS (SELECT source, target, type, count(*) AS n FROM trade GROUP BY source, target, type), edges AS (SELECT source, target, type FROM counted WHERE n * (SELECT count(*) FROM counted) * 2 > (SELECT sum(n) FROM counted) * 3)"
+SQL_TRADE = "trade AS (SELECT a.n_name AS source, b.n_name AS target, l_returnflag AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey), counted AS (SELECT source, target, type, count(*) AS n FROM trade GROUP BY source, target, type), edges AS (SELECT source, target, type FROM counted WHERE n * (SELECT count(*) FROM counted) * 10 > (SELECT sum(n) FROM counted) * 11)"
 SQL_NATIONS = "nodes AS (SELECT n_name AS title, r_name AS summary, CAST(n_nationkey AS BIGINT) AS page_id FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 

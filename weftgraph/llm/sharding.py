@@ -3,7 +3,7 @@
 Documents with equal texts form a group.  A group goes to the shard where the dot product of its
 size vector with the shard's residual capacity is highest; larger groups are placed first.
 
-* Heavy groups, with ``HEAVY`` or more of any total, are at most ``3 / HEAVY`` by arithmetic; the
+* Heavy groups, with ``HEAVY`` or more of any total, are at most ``3 / HEAVY`` by arithmetic (and 768 pieces); the
   driver places them.  A group larger than a shard is dealt by row into pieces of ``SPLIT`` of
   one, as no placement of the whole could balance; no other group is split.
 * The others are packed where the shuffle puts them: each partition fills the eight shards in
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.shared import documents, stored, text_or_empty, words
 
 HEAVY = 1 / 512
-SPLIT = 1 / 2
+SPLIT = 1 / 32
 SLOT_ROWS = 20_000
 #: What each dimension counts for in the dot product: the law promises near-equal bytes first.
 LAW_WEIGHTS = (16.0, 1.0, 1.0)
@@ -94,7 +94,7 @@ def vector_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", t
     marked_schema = "group_key binary, n_pieces int"
     marks = F.broadcast(spark.createDataFrame([(bytearray(k), n) for k, n in pieces_of.items()], marked_schema))
     heavy_rows = rows.join(marks, "group_key").withColumn("piece", F.pmod("row", "n_pieces").cast("int"))
-    # At most shards / SPLIT pieces for each third of the total, and one for each other heavy group.
+    # At most 3 * shards / SPLIT pieces of split groups, and one for each other heavy group.
     pieces = heavy_rows.groupBy("group_key", "piece").agg(F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_rows")).collect() if heavy else []
     capacity = np.full((shards, len(DIMENSIONS)), 1.0 / shards)
     vectors = {(bytes(p["group_key"]), p["piece"]): tuple(float(p[d] / t) for d, t in zip(DIMENSIONS, totals, strict=True)) for p in pieces}

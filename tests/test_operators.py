@@ -205,3 +205,13 @@ def test_keyword_titles_beyond_the_limit_keep_short_titles(spark):
     titles = spark.createDataFrame([(t, t.upper()) for t in ("ox", "oxen", "é", "last", "x", "absent", "key")], "lowered string, title string")
     rows = lambda limit: sorted(map(tuple, enrich.keyword_titles(articles, titles, {"key": "K"}, limit=limit).collect()))
     assert rows(2) == rows(100) and len(rows(2)) == 9
+
+
+def test_a_parent_of_unknown_gender_is_a_father(spark):
+    from weftgraph.functions import rule_tables as R
+    from weftgraph.operators import typing
+
+    edges = spark.createDataFrame([("A", "B")], "source string, target string")
+    articles = spark.createDataFrame([("A", "A là con trai của B.")], "title string, text string")
+    found = {(r["source"], r["target"], r["type"]) for r in typing.typed_edges(edges, articles, R.RULES_A, R.INVERSE_A).collect()}
+    assert found == {("A", "B", "LÀ_CON_CỦA"), ("B", "A", "LÀ_CHA_CỦA")}

@@ -57,6 +57,20 @@ def test_contains_join_by_grams_equals_broadcast(spark, small):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_contains_join_finds_every_title_in_every_text(spark):
+    texts = [(1, "aaab ab"), (2, ""), (3, None), (4, "đab\U0001f600x"), (5, "b"), (6, "x" * 200_000 + "ab"), (1, "aaab ab")]
+    titles = [("ab", "AB"), ("ab", "Ab"), ("b", "B"), ("aa", "AA"), ("aaab ab", "all"), ("\U0001f600", "face"), ("đ", None), ("", "none"), (None, "null")]
+    t = spark.createDataFrame(texts, "id int, low string").withColumn("hit", F.lit(7))
+    n = spark.createDataFrame(titles, "lowered string, title string")
+    expected = sorted((i, 7, a, str(b)) for i, low in texts for a, b in titles if low and a and a in low)
+    for limit in (100, 1):
+        found = enrich.contains_join(t, "low", n, min_length=1, limit=limit)
+        assert sorted((r["id"], r["hit"], r["t_lowered"], str(r["t_title"])) for r in found.collect()) == expected
+        assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    empty = enrich.contains_join(t, "low", n.where("title = 'absent'"), min_length=1)
+    assert empty.columns == ["id", "low", "hit", "t_lowered", "t_title"] and empty.count() == 0
+
+
 def test_upsert_and_load(spark):
     existing = spark.createDataFrame([("A", "1")], "title string, page_id string")
     new = spark.createDataFrame([("A", 9, 0), ("B", None, 1), ("B", 5, 2), (None, 3, 3)], "title string, page_id long, pos int")

@@ -1,24 +1,26 @@
 """Adding edges from texts: mentions of titles, keywords, sentence classes, links.
 
-"Text contains title" has no equality to hash on.  Up to ``BROADCAST_TITLES`` titles, counted first, the
-titles are broadcast and every text is scanned once.  Beyond that texts and titles meet on the title's
-first characters, or on the whole of a shorter title: texts are cut into their distinct grams, only grams
-that some title starts with are kept, and the pairs are verified.  Both give the same rows.
+"Text contains title" has no equality to hash on.  Up to ``BROADCAST_TITLES`` titles of ``BROADCAST_BYTES``,
+measured first, an automaton of all titles reads every text once, in Arrow batches, however many titles there
+are.  Beyond that texts and titles meet on the title's first characters, or on the whole of a shorter title:
+texts are cut into their distinct grams, and the pairs are verified.  Both give the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.functions.rules import first_match
 from weftgraph.schema import EDGE_KEY
-from weftgraph.storage import fits
 
 BROADCAST_TITLES = 50_000
+BROADCAST_BYTES = 16 << 20
 GRAM = 4
 
 
@@ -29,17 +31,50 @@ def gazetteer(nodes: DataFrame, title: str = "title", order: str = "pos", label:
     return kept.withColumn("n", F.row_number().over(last)).where("n = 1").select("lowered", F.col(title).alias("title"), *([F.col(label).alias("label")] if label else []))
 
 
+HIT = "array<struct<t_lowered string, t_title string>>"
+
+
+def finder(titles: list[tuple[str, str]], spark: SparkSession):
+    """A function of a text column: the titles (lowered, title) that the text holds, each once; none for null."""
+    shared = spark.sparkContext.broadcast(titles)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton, places = ahocorasick.Automaton(), {}
+        for i, (lowered, _) in enumerate(shared.value):
+            places.setdefault(lowered, []).append(i)
+        for lowered, at in places.items():
+            automaton.add_word(lowered, at)
+        automaton.make_automaton()
+        columns = [pa.array(c, pa.string()) for c in zip(*shared.value, strict=True)]
+        rows = pa.StructArray.from_arrays(columns, ["t_lowered", "t_title"])
+        for batch in batches:
+            ends, found = [0], []
+            for text in batch:
+                # The lists are the automaton's own, so equal hits are one object.
+                held = {id(at): at for _, at in automaton.iter(text.as_py() or "")}
+                for at in held.values():
+                    found += at
+                ends.append(len(found))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows.take(pa.array(found, pa.int32())))
+
+    return F.arrow_udf(run, HIT)
+
+
 def contains_join(texts: DataFrame, lowered: str, titles: DataFrame, min_length: int = GRAM, limit: int = BROADCAST_TITLES) -> DataFrame:
-    """``texts`` and ``titles`` (lowered, title) where the text holds the title."""
-    titles = titles.where(F.length("lowered") >= min_length).select(F.col("lowered").alias("t_lowered"), F.col("title").alias("t_title"))
-    if fits(titles, limit):
-        return texts.join(F.broadcast(titles), F.contains(F.col(lowered), F.col("t_lowered")))
+    """``texts`` and ``titles`` (lowered, title) where the text holds the title; a null text or title holds nothing."""
+    titles = titles.where(F.length("lowered") >= max(min_length, 1)).select(F.col("lowered").alias("t_lowered"), F.col("title").alias("t_title"))
+    size = titles.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("t_lowered") + F.coalesce(F.octet_length("t_title"), F.lit(0))).alias("bytes")).first()
+    if size["n"] == 0:
+        return texts.select("*", *[F.lit(None).cast("string").alias(c) for c in titles.columns]).where(F.lit(False))
+    if size["n"] <= limit and size["bytes"] <= BROADCAST_BYTES:
+        find = finder([tuple(r) for r in titles.collect()], texts.sparkSession)
+        return texts.withColumn("_title_hit", F.explode(find(F.col(lowered)))).select("*", "_title_hit.*").drop("_title_hit")
     # A title shorter than the gram is its own gram; texts are cut into grams of its length too.
     keyed = titles.withColumn("gram", F.substring("t_lowered", 1, GRAM))
 
     def cut(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lowered) - (n - 1)))
-        return F.transform(places, lambda i: F.substring(F.col(lowered), i, F.lit(n)))
+        # All overlapping grams in one pass; cutting by position would count characters from the start each time.
+        return F.regexp_extract_all(F.col(lowered), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
     grams = texts.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(min(min_length, GRAM), GRAM + 1)])))))
     return grams.join(keyed, "gram").where(F.contains(F.col(lowered), F.col("t_lowered"))).drop("gram")

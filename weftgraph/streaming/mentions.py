@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftgraph.functions import text as T
+from weftgraph.operators.enrich import contains_join
 from weftgraph.schema import EDGE_KEY
 
 
 def mention_stream(articles: DataFrame, titles: DataFrame, rel_type: str, time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Edges from streaming ``articles`` (title, text) to the titles of a static gazetteer (lowered, title).
 
+    Titles are found as in ``contains_join``: by an automaton, or on grams if they are many.
     With an event time column, triples are remembered for ``delay`` behind the newest article only.
     """
     texts = articles.select(*[c for c in ("title", "text", time) if c]).where(F.coalesce("text", F.lit("")) != "")
-    titles = titles.select("lowered", F.col("title").alias("found"))
-    hits = texts.join(F.broadcast(titles), F.contains(F.lower("text"), F.col("lowered"))).where(F.lower("title") != F.lower("found"))
-    edges = hits.select(F.col("title").alias("source"), F.col("found").alias("target"), F.lit(rel_type).alias("type"), *([F.col(time)] if time else []))
+    hits = contains_join(texts.withColumn("low", F.lower("text")), "low", titles, min_length=1).where(F.lower("title") != F.lower("t_title"))
+    edges = hits.select(F.col("title").alias("source"), F.col("t_title").alias("target"), F.lit(rel_type).alias("type"), *([F.col(time)] if time else []))
     return edges.withWatermark(time, delay).dropDuplicatesWithinWatermark(EDGE_KEY) if time else edges.dropDuplicates(EDGE_KEY)
 
 

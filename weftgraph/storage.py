@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where the session names none, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``; where a local session names none, as in tests, a temporary folder."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
@@ -32,8 +34,3 @@ def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """With a broadcast hint if its size has been checked, else as it is."""
-    return F.broadcast(df) if fits(df, rows) else df

@@ -357,6 +357,54 @@ def test_mix_meets_targets_and_reruns(spark, small):
     assert mixing.mixed_documents(docs).count() == sum(r["copies"] for r in rows)
 
 
+def plain_mix(rows, weights=(1, 2, 3), most=3):
+    """doc_id, source, size, own weight, u: copies of each, with the level found by halving."""
+    size_of = {}
+    for _, source, size, _, _ in rows:
+        size_of[source] = size_of.get(source, 0) + size
+    share = dict(zip(sorted(size_of), [weights[i % 3] for i in range(len(size_of))]))
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(most * size_of[s], share[s] * middle) for s in share) < sum(size_of.values()) else (low, middle)
+    copies = {}
+    for source in share:
+        target, of = min(most * size_of[source], share[source] * high), [r for r in rows if r[1] == source]
+        low_c, high_c = 0.0, 1e6
+        for _ in range(200):
+            middle = (low_c + high_c) / 2
+            low_c, high_c = (middle, high_c) if sum(min(most, middle * w) * n for _, _, n, w, _ in of) < target else (low_c, middle)
+        wanted = [(i, n, u, min(most, high_c * w)) for i, _, n, w, u in of]
+        left = target - sum(int(e) * n for _, n, _, e in wanted)
+        copies |= {i: int(e) for i, _, _, e in wanted}
+        used = 0
+        odds = lambda r: r[2] / (1 - r[2]) * (1 - r[3] % 1) / (r[3] % 1)
+        for i, n, u, e in sorted((r for r in wanted if r[3] % 1 > 0), key=odds):
+            used += n
+            copies[i] = int(e) + (used - n / 2 <= left)
+    return copies
+
+
+def test_mix_equals_plain_version_and_inclusion_is_unequal(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aabc"), rng.choice([1, 3, 8, 20, 90, 300]), rng.randint(1, 9)) for i in range(900)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s, w) for i, s, n, w in rows], "doc_id long, text string, source string, worth int")
+    us = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform("doc_id", mixing.SEED).alias("u")).collect()}
+    for weight_col in (None, "worth"):
+        found = {r["doc_id"]: r["copies"] for r in mixing.pareto_mix(docs, weight_col=weight_col).collect()}
+        assert found == plain_mix([(i, s, n, n.bit_length() if weight_col is None else w, us[i]) for i, s, n, w in rows])
+    # Heavier documents are taken more often, and the order isn't that of the random number alone.
+    mean = lambda ws: sum(found[i] for i, _, _, w in rows if w in ws) / sum(w in ws for _, _, _, w in rows)
+    assert mean({8, 9}) > 2 * mean({1, 2})
+    kept = sorted(i for i, s, _, _ in rows if s == "a" and found[i])
+    assert kept != sorted(sorted((i for i, s, _, _ in rows if s == "a"), key=us.get)[: len(kept)])
+
+
+def test_mixed_rows_are_as_many_as_the_mix_takes(odd):
+    plan = mixing.pareto_mix(odd).collect()
+    assert mixing.mixed_documents(odd).count() == sum(r["copies"] for r in plan)
+
+
 def test_near_lines_equal_all_pairs(spark):
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(18, 40))).strip() or "x" for _ in range(12)]

@@ -10,12 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph import schema as S
+from weftgraph import storage
 from weftgraph.functions import rule_tables as R
 from weftgraph.functions import text as T
 from weftgraph.functions.rules import first_match
 from weftgraph.operators import crawl, enrich, graph, infobox, load, questions, retrieve, typing
 from weftgraph.plans import inputs as I
 from weftgraph.plans.inputs import SQL_ANCHORS, SQL_ARTICLES, SQL_NATIONS, SQL_TITLES, SQL_TRADE, sql_any, sql_case, sql_sentences
+from weftgraph.sources import readers, writers
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -602,3 +605,123 @@ def mention_context(spark, d) -> DataFrame:
     m = _mentions(spark, d)[2]
     ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
     return m.groupBy("source", "target").agg(F.md5(F.concat_ws(" ", F.transform(ordered, lambda x: x["sentence"]))).alias("context_md5"))
+
+
+# --- sources and sinks, written and read back --------------------------------------------------------
+
+_source_edges_sql = f"WITH {SQL_ANCHORS}, page_edges AS (SELECT 'page_' || page_id AS source, anchor AS target, CASE WHEN pos = 0 THEN 'FIRST' ELSE 'LATER' END AS type, CASE WHEN pos % 3 = 0 THEN '' ELSE 'said \"' || anchor || '\", at ' || pos END AS evidence FROM anchors WHERE anchor <> '')"
+
+
+def _evidence_edges(spark, d) -> DataFrame:
+    """Links of all pages, with evidence that holds quotes and commas, or none."""
+    a = I.anchors(spark, d).where("anchor <> ''")
+    evidence = F.when(F.col("pos") % 3 == 0, "").otherwise(F.concat(F.lit('said "'), "anchor", F.lit('", at '), F.col("pos").cast("string")))
+    return a.select(F.concat(F.lit("page_"), "page_id").alias("source"), F.col("anchor").alias("target"), F.when(F.col("pos") == 0, "FIRST").otherwise("LATER").alias("type"), evidence.alias("evidence"))
+
+
+@registered(_source_edges_sql + " SELECT * FROM page_edges")
+def csv_evidence_roundtrip(spark, d) -> DataFrame:
+    """Edges with evidence through CSV."""
+    path = storage.fresh(spark, "csv-evidence")
+    writers.csv_edges(_evidence_edges(spark, d), path, with_evidence=True)
+    return readers.csv_edges(spark, path, with_evidence=True)
+
+
+@registered(_source_edges_sql + " SELECT source, target, type FROM page_edges")
+def csv_edges_roundtrip(spark, d) -> DataFrame:
+    """Edges without evidence through CSV."""
+    path = storage.fresh(spark, "csv-edges")
+    writers.csv_edges(_evidence_edges(spark, d), path)
+    return readers.csv_edges(spark, path)
+
+
+@registered("SELECT 'doc_' || doc_id AS title, CAST(doc_id AS BIGINT) AS page_id, text, source FROM documents UNION ALL SELECT 'page_' || page_id, CAST(page_id AS BIGINT), html, 'pages' FROM pages")
+def json_lines_append(spark, d) -> DataFrame:
+    """Articles as JSON lines, the pages appended to the documents."""
+    path = storage.fresh(spark, "json-lines")
+    docs, pages = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "pages"))
+    writers.json_lines(docs.select(F.concat(F.lit("doc_"), "doc_id").alias("title"), F.col("doc_id").cast("long").alias("page_id"), "text", "source"), path)
+    writers.json_lines(pages.select(F.concat(F.lit("page_"), "page_id").alias("title"), F.col("page_id").cast("long").alias("page_id"), F.col("html").alias("text"), F.lit("pages").alias("source")), path, "append")
+    return readers.json_lines(spark, path, S.ARTICLE)
+
+
+@registered(f"WITH {SQL_NATIONS} SELECT title, page_id, summary FROM nodes")
+def json_array_roundtrip(spark, d) -> DataFrame:
+    """Nodes as one JSON array, a form for small results."""
+    path = storage.fresh(spark, "json-array")
+    writers.json_array(I.nations(spark, d), path)
+    return readers.json_array(spark, path, "title string, page_id long, summary string")
+
+
+@registered(_source_edges_sql + ' SELECT source AS ":START_ID", target AS ":END_ID", type AS ":TYPE", evidence FROM page_edges')
+def bulk_edges_roundtrip(spark, d) -> DataFrame:
+    """K5 K6: relations in the columns of a bulk import, as CSV."""
+    path = storage.fresh(spark, "bulk-edges")
+    rows = writers.bulk_edges(_evidence_edges(spark, d).withColumn("evidence", F.nullif("evidence", F.lit(""))), with_evidence=True)
+    writers.bulk_csv(rows, path)
+    found = spark.read.schema(rows.schema).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return found.withColumn("evidence", F.coalesce("evidence", F.lit("")))
+
+
+@registered("""
+SELECT c_name AS "title:ID", CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS ":LABEL", CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS BIGINT) AS page_id,
+       CASE WHEN c_custkey % 5 = 0 THEN '{}' ELSE '{"segment":"' || c_mktsegment || '"}' END AS infobox FROM customer
+""")
+def bulk_nodes_roundtrip(spark, d) -> DataFrame:
+    """Nodes in the columns of a bulk import; some without label, page id or infobox."""
+    path, key = storage.fresh(spark, "bulk-nodes"), F.col("c_custkey")
+    box = F.when(key % 5 != 0, F.create_map(F.lit("segment"), "c_mktsegment"))
+    nodes = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("title"), F.when(key % 2 == 0, F.col("c_mktsegment")).alias("label"), F.when(key % 3 != 0, key.cast("long")).alias("page_id"), box.alias("infobox"))
+    rows = writers.bulk_nodes(nodes)
+    writers.bulk_csv(rows, path)
+    found = spark.read.schema(rows.schema).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return found.withColumn(":LABEL", F.coalesce(":LABEL", F.lit("")))
+
+
+@registered("SELECT n_name AS title, CAST(n_nationkey * 10 AS BIGINT) AS score FROM nation WHERE n_nationkey > 4")
+def replaced_table(spark, d) -> DataFrame:
+    """A table that is rewritten from itself."""
+    path = storage.fresh(spark, "replaced")
+    nodes = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("title"), F.col("n_nationkey").cast("long").alias("score"))
+    writers.replaced(nodes, path)
+    writers.replaced(spark.read.parquet(path).where("score > 4").withColumn("score", F.col("score") * 10), path)
+    return spark.read.parquet(path)
+
+
+@registered("SELECT c_name AS title, c_mktsegment AS label, CAST(n AS BIGINT) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def scores_written_back(spark, d) -> DataFrame:
+    """Nodes with a score column; null for nodes without."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    customers = t("customer").select("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("label"))
+    scores = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return load.written_back(customers, scores, "c_custkey").drop("c_custkey")
+
+
+@registered("SELECT 'doc_' || doc_id AS title, CASE WHEN lang = 'en' THEN coalesce(text, '') ELSE '' END AS text FROM documents")
+def texts_of_titles(spark, d) -> DataFrame:
+    """A text for every title, empty where there is no article."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("doc_"), "doc_id").alias("title"), "lang", "text")
+    return readers.texts_of(docs.select("title"), docs.where("lang = 'en'"))
+
+
+# --- measures over a graph that grows with the tables ------------------------------------------------
+
+_parties_sql = """
+edges AS (SELECT DISTINCT 'C' || o_custkey AS source, 'S' || l_suppkey AS target, l_returnflag AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+nodes AS (SELECT 'C' || c_custkey AS title FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier)
+"""
+
+
+@registered(f"WITH {_parties_sql}, {_arcs}, deg AS (SELECT title, CAST(count(src) AS DOUBLE) AS degree FROM nodes LEFT JOIN arcs ON title = src GROUP BY title) SELECT title, degree FROM deg")
+def degree_parties(spark, d) -> DataFrame:
+    """Degrees of all customers and suppliers by all order lines."""
+    return graph.degree(*I.parties(spark, d)).select("title", "degree")
+
+
+_shares = "outs AS (SELECT src, count(*) AS o FROM arcs GROUP BY src), shares AS (SELECT b.src, b.dst, count(*) / any_value(o)::DOUBLE AS share FROM arcs b JOIN outs ON b.src = outs.src GROUP BY b.src, b.dst)"
+
+
+@registered(f"WITH {_parties_sql}, {_arcs}, {_shares}, {_pr} SELECT title, round(score, 6) AS score FROM r20")
+def pagerank20_parties(spark, d) -> DataFrame:
+    """Twenty updates over all customers and suppliers."""
+    return graph.pagerank(*I.parties(spark, d), tolerance=None).select("title", F.round("score", 6).alias("score"))

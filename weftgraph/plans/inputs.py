@@ -51,6 +51,15 @@ def trade_edges(spark: SparkSession, d: str) -> DataFrame:
     return counted.join(F.broadcast(whole)).where(F.col("n") * F.col("triples") * 10 > F.col("lines") * 11).select("source", "target", "type")
 
 
+def parties(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers (title), and the distinct edges between them that all order lines make."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    nodes = t("customer").select(name("C", "c_custkey").alias("title")).unionByName(t("supplier").select(name("S", "s_suppkey").alias("title")))
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return nodes, lines.select(name("C", "o_custkey").alias("source"), name("S", "l_suppkey").alias("target"), F.col("l_returnflag").alias("type")).distinct()
+
+
 def nations(spark: SparkSession, d: str) -> DataFrame:
     n, r = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("title"), F.col("r_name").alias("summary"), F.col("n_nationkey").cast("long").alias("page_id"))

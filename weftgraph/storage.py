@@ -22,9 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/graph/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back; a lost executor costs a re-read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

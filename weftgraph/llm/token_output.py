@@ -24,7 +24,7 @@ from weftgraph.llm.shared import documents, fresh_path, partitions, stored, text
 from weftgraph.llm.token_file import TokenFileReader, TokenFileWriter
 
 #: Pieces whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Texts that are encoded at a step, in characters, and new words that the library gets as one text.
 STEP, TOGETHER = 500_000, 256
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -72,20 +72,24 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         out: list[bytes | None] = []
-        waiting: list[tuple[int, list[str]]] = []
+        waiting: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
         missing: set[str] = set()
         for text in texts:
             if ODD.search(text) or any(s in text for s in self.special):
                 out.append(self._library([text])[0])
                 continue
             found = PLAIN.findall(text)
-            missing |= set(found).difference(self.known)
-            waiting.append((len(out), found))
+            # One look-up a piece; only pieces that aren't known yet are looked up again.
+            got = [*map(self.known.get, found)]
+            gaps = [(i, found[i]) for i, ids in enumerate(got) if ids is None]
+            missing.update(piece for _, piece in gaps)
+            waiting.append((len(out), got, gaps))
             out.append(None)
         self._learn(missing)
-        ids_of = self.known.__getitem__
-        for at, found in waiting:
-            out[at] = b"".join(map(ids_of, found))
+        for at, got, gaps in waiting:
+            for i, piece in gaps:
+                got[i] = self.known[piece]
+            out[at] = b"".join(got)
         return out
 
 

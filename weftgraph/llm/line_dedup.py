@@ -4,16 +4,18 @@ A line occurrence goes if an earlier place, by document id and then line number,
 or one that is within ``edits`` edits; of lines shorter than ``SHORT`` characters only equal ones count, as
 two edits make another line of them.  Blank lines stay.
 
-Two lines within ``edits`` edits share at least one of ``edits + 1`` even segments of the one that isn't longer
-(pigeonhole).  Every line is indexed by its own segments, and probes the substrings of itself that can be a
-segment of a line of its length or up to ``edits`` less: for each segment number only the starts that
-leave room for the edits to its left and right (multi-match-aware selection).  A key is the hash of
-length, segment number and substring.
+Two lines within ``edits`` edits share at least one of ``edits + 1`` segments of the one that isn't longer
+(pigeonhole).  Segments are even for the shortest line of a class of lengths, the last one at the line's end; what
+longer lines have between the last two is in no segment.  Every line is indexed by its own segments, and probes the
+substrings of itself that can be a segment of a line of its class or, where up to ``edits`` less lead there, of the
+class below: for each segment number only the starts that leave room for the edits to its left and right
+(multi-match-aware selection over all differences of length).  A key is the hash of class, segment number and substring.
 
 Nearly all keys belong to one line.  Keys are first reduced to the least and the greatest line hash
 under them; only where these differ are lines and texts brought together, and the join itself verifies
-them, so candidates are never written out.  Verification is Spark's ``levenshtein`` with a threshold, a
-banded dynamic program; a bit-parallel one can't be written in built-in functions at a bearable cost.
+them, so candidates are never written out.  Keys too many to broadcast meet keys and hashes of lines, without
+texts, and only lines found so are fetched.  Verification compares lengths and cuts off equal beginnings and ends; the
+rest goes through Spark's ``levenshtein`` with a threshold; a bit-parallel one can't be written in built-in functions at a bearable cost.
 """
 
 from __future__ import annotations
@@ -21,46 +23,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import copy_number, documents, small_enough, stored, text_or_empty
+from weftgraph.llm.shared import copy_number, documents, forget, small_enough, stored, text_or_empty
 
 EDITS = 2
 SHORT = 20
-#: Keys shared by several lines are broadcast up to this number (some 100 MB), else joined by a shuffle.
+#: Keys shared by several lines, and hashes of lines, are broadcast up to this number (some 100 MB), else joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Lines with more than ``1 / HOT`` of all places are at most so many.
 HOT = 2000
-#: A line that isn't blank has such a character.
-FILLED = r"[^\x20\x09-\x0D]"
+#: A line that isn't blank begins with these and goes on.
+BLANKS = " \t\n\x0b\x0c\r"
+#: Once in every line that isn't blank: from its first character that isn't blank to its end.
+FILLED = r"[^\x20\x09-\x0D][^\n]*"
 
 
-def probes(edits: int) -> list[tuple[int, int, int]]:
-    """(how much shorter the indexed line, segment number, shift); those without a difference index the line itself."""
+def probes(edits: int) -> list[tuple[bool, int, int]]:
+    """(of the class below, segment number, shift); in a line's own class those without a shift index the line itself.
+
+    Shifts are from where the segment begins in the indexed line, of the last segment from where it ends.
+    """
     out = []
-    for less in range(edits + 1):
+    for below in (False, True):
         for i in range(edits + 1):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            out += [(less, i, shift) for shift in range(low, high + 1)]
+            low, high = max(-i, below - (edits - i)), i
+            if i == edits:
+                low = high = 0
+            out += [(below, i, shift) for shift in range(low, high + 1)]
     return out
 
 
-def keyed(lines: DataFrame, edits: int) -> DataFrame:
+def class_of(length: Column, edits: int, short: int) -> Column:
+    """The shortest length of a length's class; classes are four times as wide from ``short`` and 64 edits on."""
+    width = 4 * max(edits, 1)
+    wide = F.when(length < short + 16 * width, width).otherwise(4 * width)
+    return length - (length - short) % wide
+
+
+def keyed(lines: DataFrame, edits: int, short: int) -> DataFrame:
     """The rows of ``lines`` (line, length) once a key that the line is indexed by (``own``) or probes besides.
 
     One row a probe, so that one short expression makes all keys: one long one a line would never be compiled.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("part"), F.lit(shift).alias("shift")) for less, i, shift in probes(edits)]))
-    n, k = F.col("length") - F.col("p.less"), edits + 1
-    start = F.floor(F.col("p.part") * n / k).cast("int")
-    size = F.floor((F.col("p.part") + 1) * n / k).cast("int") - start
-    own = (F.col("p.less") == 0) & (F.col("p.shift") == 0)
-    return lines.select("*", each.alias("p")).select(*lines.columns, F.xxhash64(n, "p.part", F.substring("line", start + F.col("p.shift") + 1, size)).alias("key"), own.alias("own"))
+    as_array = lambda found: F.array(*[F.struct(F.lit(below).alias("below"), F.lit(i).alias("part"), F.lit(shift).alias("shift")) for below, i, shift in found])
+    at = class_of(F.col("length"), edits, short)
+    classes = lines.select("*", at.alias("at")).select("*", class_of(F.col("at") - 1, edits, short).alias("under"))
+    reaches = (F.col("length") - F.col("at") < edits) & (F.col("at") > short)
+    each = F.explode(F.when(reaches, as_array(probes(edits))).otherwise(as_array([p for p in probes(edits) if not p[0]])))
+    least, k = F.when(F.col("p.below"), F.col("under")).otherwise(F.col("at")), edits + 1
+    start = F.floor(F.col("p.part") * least / k).cast("int")
+    size = F.floor((F.col("p.part") + 1) * least / k).cast("int") - start
+    begin = F.when(F.col("p.part") == edits, F.col("length") - size).otherwise(start) + F.col("p.shift")
+    own = ~F.col("p.below") & (F.col("p.shift") == 0)
+    return classes.select("*", each.alias("p")).select(*lines.columns, F.xxhash64(least, "p.part", F.substring("line", begin + 1, size)).alias("key"), own.alias("own"))
+
+
+def filled(line: Column) -> Column:
+    """Whether a line isn't blank."""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, doc_hash, line_no, line for every line that isn't blank."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return texts.where(F.col("line").rlike(FILLED))
+    return texts.where(filled(F.col("line")))
 
 
 def place() -> Column:
@@ -73,36 +99,77 @@ def line_hashes(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), F.col(line)).alias("h2")]
 
 
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two different lines are within ``edits`` edits.
+
+    Spark's distance walks a whole line for each character of the other.  So what lines begin and end with alike is
+    cut off first, and what follows must begin alike but for the edits.
+    """
+    steps = lambda top: F.array(*[F.lit(1 << i) for i in range(top, -1, -1)])
+    window = 8 * edits
+
+    def alike(x: Column, y: Column) -> Column:
+        sizes = F.when(F.length(x) < 512, steps(8)).otherwise(steps(15))
+        return F.aggregate(sizes, F.lit(0), lambda n, size: F.when(F.substring(x, n + 1, size) == F.substring(y, n + 1, size), n + size).otherwise(n))
+
+    def cut(x: Column, y: Column, then) -> Column:
+        """``then`` of both without what they begin with alike; ``exists`` over one row names what is used twice."""
+        rest = lambda n: F.struct(F.substring(x, n + 1, F.length(x)).alias("x"), F.substring(y, n + 1, F.length(y)).alias("y"))
+        near = lambda r: F.exists(F.array(*[F.lit(d) for d in range(-edits, edits + 1)]), lambda d: F.levenshtein(F.left(r["x"], F.lit(window)), F.left(r["y"], window + d), edits) >= 0)
+        return F.exists(F.transform(F.array(alike(x, y)), rest), lambda r: near(r) & then(r["x"], r["y"]))
+
+    return cut(a, b, lambda x, y: F.exists(F.array(F.struct(F.reverse(x).alias("x"), F.reverse(y).alias("y"))), lambda r: cut(r["x"], r["y"], lambda v, w: F.levenshtein(v, w, edits) >= 0)))
+
+
+def candidates(lines: DataFrame, edits: int, short: int) -> DataFrame:
+    """key, h1, h2, line, length, own for every line (h1, h2, line, length) under a key that another line has too."""
+    keys = keyed(lines.drop("h2"), edits, short)
+    shared = keys.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
+    shared = stored(shared, "line-keys", keep_shuffles=False)
+    names = ["key", "h1", "h2", "line", "length", "own"]
+    if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        rows = keyed(lines, edits, short).join(F.broadcast(shared), "key", "left_semi").select(*names)
+        found = stored(rows.distinct(), "line-candidates", keep_shuffles=False)
+    else:
+        # Texts times probes would be several times the input, so keys and hashes meet first.
+        hits = stored(keys.select("key", "h1", "own").join(shared.hint("shuffle_hash"), "key", "left_semi"), "line-hits", keep_shuffles=False)
+        hashes = stored(hits.select("h1").distinct(), "line-hit-hashes", keep_shuffles=False)
+        texts = stored(lines.join(small_enough(hashes, BROADCAST_KEYS), "h1", "left_semi").distinct(), "line-hit-texts", keep_shuffles=False)
+        found = stored(hits.distinct().join(texts, "h1").select(*names), "line-candidates", keep_shuffles=False)
+        for done in (hits, hashes, texts):
+            forget(done)
+    forget(shared)
+    return found
+
+
 def near_links(lines: DataFrame, edits: int = EDITS, short: int = SHORT) -> DataFrame:
     """(a1, a2, b1, b2): hashes of different lines (``line``) within ``edits`` edits, each pair once."""
-    long_lines = lines.select(*line_hashes(), "line", F.length("line").alias("length")).where(F.col("length") >= short)
-    shared = stored(keyed(long_lines.drop("h2"), edits).groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key"), "line-keys")
-    shared = small_enough(shared, BROADCAST_KEYS)
-    rows = keyed(long_lines, edits).join(shared, "key", "left_semi").select("key", "h1", "h2", "line", "own")
-    rows = stored(rows.distinct(), "line-candidates")
-    a = rows.where("own").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
-    b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
+    rows = candidates(lines.select(*line_hashes(), "line", F.length("line").alias("length")).where(F.col("length") >= short), edits, short)
+    a = rows.where("own").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"), F.col("length").alias("a_length"))
+    b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"), F.col("length").alias("b_length"))
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    close = F.levenshtein("a", "b", edits) >= 0
+    close = (F.abs(F.col("a_length") - F.col("b_length")) <= edits) & within(F.col("a"), F.col("b"), edits)
     pairs = a.join(b, (a["key"] == b["key"]) & differ & close).select("a1", "a2", "b1", "b2")
     turned = F.struct("a1", "a2") > F.struct("b1", "b2")
     names = [F.when(turned, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("b1", "a1"), ("b2", "a2"), ("a1", "b1"), ("a2", "b2"))]
-    return stored(pairs.select(*names).distinct(), "line-links")
+    links = stored(pairs.select(*names).distinct(), "line-links", keep_shuffles=False)
+    forget(rows)
+    return links
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, short: int = SHORT) -> DataFrame:
     """doc_id, doc_hash, line_no, near (dropped for a near line, not an equal one) of occurrences that go."""
     lines = lines_of(docs, id_col, text_col)
     links = near_links(lines, edits, short)
-    spots = stored(lines.select("doc_id", "doc_hash", "line_no", *line_hashes()), "line-places")
-    first = stored(spots.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("n")), "line-first")
+    spots = stored(lines.select("doc_id", "doc_hash", "line_no", *line_hashes()), "line-places", keep_shuffles=False)
+    first = stored(spots.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("n")), "line-first", keep_shuffles=False)
     both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     of_a = first.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("first_a"))
     of_b = first.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("first_b"))
     later = both.join(of_a, ["a1", "a2"]).join(of_b, ["b1", "b2"]).where("first_b < first_a").select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct().withColumn("is_near", F.lit(True))
     # Lines that occur once and have no earlier near line need no second look.
     judged = first.join(later, ["h1", "h2"], "left").where("n > 1 or is_near").select("h1", "h2", "n", "first", F.coalesce("is_near", F.lit(False)).alias("is_near"))
-    judged = stored(judged, "line-judged")
+    judged = stored(judged, "line-judged", keep_shuffles=False)
     # Very common lines are few by arithmetic and meet their places by broadcast; no other line has many places.
     hot = F.col("n") > F.lit((first.agg(F.sum("n")).first()[0] or 0) / HOT)
     common = F.broadcast(judged.where(hot))
@@ -123,13 +190,14 @@ def judged_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     key = ["__id", "__no_id", "__hash"]
     hashed = docs.select("*", F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("__id"), F.col(id_col).isNull().alias("__no_id"), F.xxhash64(text_or_empty(text_col)).alias("__hash"))
     joined = hashed.withColumn("__copy", copy_number(docs, key, id_col, text_col)).join(gone, key, "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    is_filled = lambda x: x.rlike(FILLED)
     repeated = F.col("__copy") > 1
+    # Texts that change are split once, in a column of its own: within a lambda they would be split once a line.
+    joined = joined.withColumn("__lines", F.when(repeated | F.col("__gone").isNotNull(), F.split(F.col(text_col), "\n", -1)))
+    lines = F.col("__lines")
     # By a set difference, not by a search a line: documents may have very many lines.
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.when(repeated, F.filter(lines, lambda x: ~is_filled(x))).otherwise(F.transform(stay, lambda i: F.get(lines, i)))
-    n_lines = F.coalesce(F.size(F.filter(lines, is_filled)), F.lit(0)).cast("long")
+    kept = F.when(repeated, F.filter(lines, lambda x: ~filled(x))).otherwise(F.transform(stay, lambda i: F.get(lines, i)))
+    n_lines = F.coalesce(F.regexp_count(F.col(text_col), F.lit(FILLED)), F.lit(0)).cast("long")
     n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
     n_near = F.coalesce("__gone_near", F.lit(0)).cast("long")
     return joined.select(

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: A word: the longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whether a query's shuffle files go once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -38,11 +41,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, with its schema kept."""
+def stored(df: DataFrame, name: str, *, keep_shuffles: bool = True) -> DataFrame:
+    """``df`` written to the shared folder and read back, with its schema kept.
+
+    The write's shuffle files stay on executors' disks until the driver collects its garbage, or go at its end.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if not keep_shuffles:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if not keep_shuffles:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
